@@ -220,15 +220,15 @@ def copies(docs: DataFrame, ensemble: Ensemble = Ensemble()) -> DataFrame:
         done = both.mapInArrow(_contained, "a long, b long, containment double, size_a int, size_b int")
         before = (F.col("size_b") > F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("b") < F.col("a")))
         near = before & (F.col("size_b") <= ensemble.max_ratio * F.col("size_a")) & (F.col("containment") >= ensemble.threshold)
-        best = F.max(F.struct("size_b", -F.col("b"), "containment")).alias("m")
-        return done.where(near).groupBy("a").agg(best).select(F.col("a").alias("doc_id"), (-F.col("m")[1]).alias("copy_of"), F.col("m.containment").alias("containment"))
+        best = F.max(F.struct("size_b", (-F.col("b")).alias("minus"), "containment")).alias("m")
+        return done.where(near).groupBy("a").agg(best).select(F.col("a").alias("doc_id"), (-F.col("m.minus")).alias("copy_of"), F.col("m.containment").alias("containment"))
 
     ordered = shared.repartition("key").sortWithinPartitions(*order)
     led = staged(checked(ordered.mapInArrow(_pairs(tuned, ensemble.max_ratio, False), "a long, b long")), "led")
     left = shared.join(led.select("doc_id", F.lit(False).alias("open")), "doc_id", "left").select("key", "band", "doc_id", "size", "s0", "s1", "s2", "s3", F.coalesce("open", F.lit(True)).alias("open"))
     rest = checked(left.repartition("key").sortWithinPartitions(*order).mapInArrow(_pairs(tuned, ensemble.max_ratio, True), "a long, b long"))
     near = led.unionByName(rest)
-    return near.unionByName(exact).groupBy("doc_id").agg(F.max(F.struct("containment", -F.col("copy_of"))).alias("m")).select("doc_id", (-F.col("m")[1]).alias("copy_of"), F.round("m.containment", 6).alias("containment"))
+    return near.unionByName(exact).groupBy("doc_id").agg(F.max(F.struct("containment", (-F.col("copy_of")).alias("minus"))).alias("m")).select("doc_id", (-F.col("m.minus")).alias("copy_of"), F.round("m.containment", 6).alias("containment"))
 
 
 def deduplicate(docs: DataFrame, ensemble: Ensemble = Ensemble()) -> DataFrame:
