@@ -46,21 +46,20 @@ def sdn_type(value: Column) -> Column:
 
 
 def party_type(party: Column, label: Column | None = None) -> Column:
-    """By the number of the party's type; a label that names a vessel or an aircraft comes first."""
+    """By the number of the party's type; the labels vessel and aircraft come first."""
     by_number = _mapped(party, {"1": "person", "2": "organization", "4": "vessel", "5": "organization"})
     if label is None:
         return by_number
     low = F.lower(label)
-    return F.when(low.contains("vessel"), "vessel").when(low.contains("aircraft"), "aircraft").otherwise(by_number)
+    return F.when(low == "vessel", "vessel").when(low == "aircraft", "aircraft").otherwise(by_number)
 
 
 def eu_type(code: Column) -> Column:
-    low = F.lower(code)
-    return F.when(low.startswith("p"), "person").when(low.startswith("e"), "organization").otherwise("unknown")
+    return _mapped(F.lower(F.trim(code)), {"p": "person", "person": "person", "e": "organization", "enterprise": "organization"})
 
 
 def uk_type(value: Column) -> Column:
-    return _mapped(F.lower(F.trim(value)), {"individual": "person", "entity": "organization", "ship": "vessel", "vessel": "vessel", "aircraft": "aircraft"})
+    return _mapped(F.lower(F.trim(value)), {"individual": "person", "person": "person", "entity": "organization", "organisation": "organization", "organization": "organization", "ship": "vessel", "vessel": "vessel"})
 
 
 def fragments(markup: Column, tags: Sequence[str]) -> Column:

@@ -251,10 +251,10 @@ def resolve_strict(spark, sf_dir):
     return resolve.resolve(screen.queries_of(spark, _FIRM), cw.entities(spark, sf_dir))[0].select(*MATCH)
 
 
-@query(f"WITH {cw.ENTITY_CTE}, {_sql_entities('upper(status) <> ' + repr('ISSUED') + ' AND jurisdiction = ' + repr('N13'))}, {_FIRMS},{sql_strict('firms', 'chosen', 2000)} SELECT {_MATCH} FROM ranked")
+@query(f"WITH {cw.ENTITY_CTE}, {_sql_entities('upper(status) <> ' + repr('ISSUED') + ' AND jurisdiction = ' + repr('N10'))}, {_FIRMS},{sql_strict('firms', 'chosen', 2000)} SELECT {_MATCH} FROM ranked")
 def resolve_filtered(spark, sf_dir):
     q = screen.prepared(screen.queries_of(spark, _FIRM))
-    hits = screen.ranked(resolve.strict(q, resolve.narrowed(cw.entities(spark, sf_dir), "n13", "lapsed")).withColumnRenamed("lei", "designation_id"))
+    hits = screen.ranked(resolve.strict(q, resolve.narrowed(cw.entities(spark, sf_dir), "n10", "lapsed")).withColumnRenamed("lei", "designation_id"))
     return hits.withColumnRenamed("designation_id", "lei").select(*MATCH)
 
 
