@@ -24,14 +24,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenlake.llm.textcols import blocks, range_hash, ranges, sliding_min, word_spans
+from screenlake.llm.textcols import blocks, range_hash, ranges, release, slices, sliding_min, word_spans
 
-WORDS, GRAM, SHARDS = 50, 8, 4
+WORDS, GRAM, SHARDS = 50, 4, 4
 #: Bytes of strings that are merged at a time, at the least one anchor's.
 CHUNK = 8 << 20
 FORM = "anchor long, string long, windows int, inner boolean, body binary, docs array<long>, versions array<long>, places array<int>"
@@ -70,7 +70,8 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListAr
 
 def _cut_strings(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             parts: list[dict[str, np.ndarray]] = []
             raw: list[bytes] = []
@@ -87,7 +88,7 @@ def _cut_strings(words: int):
             a, s = x["anchor"][order], x["string"][order]
             first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] != s[:-1]))))
             one, ends = order[first], np.append(first, len(order))
-            body = [raw[k][lo:hi] for k, lo, hi in zip(x["block"][one].tolist(), x["lo"][one].tolist(), x["hi"][one].tolist())]
+            body = [pack(raw[k][lo:hi]) for k, lo, hi in zip(x["block"][one].tolist(), x["lo"][one].tolist(), x["hi"][one].tolist())]
             doc = x["doc"][order]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x["anchor"][one].view(np.int64)), pa.array(x["string"][one].view(np.int64)), pa.array(x["windows"][one], pa.int32()), pa.array(x["inner"][one]), pa.array(body, pa.binary()), _lists(ids[doc], ends, pa.int64()), _lists(versions[doc], ends, pa.int64()), _lists(x["place"][order], ends, pa.int32())],
@@ -205,8 +206,13 @@ def _repeated(table: pa.Table, words: int, shards: int) -> Iterator[pa.RecordBat
     fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (version[order][1:] != version[order][:-1])
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(fresh) - 1
-    names = order[fresh]
+    names = doc[order[fresh]], version[order[fresh]]
     spot = (rank << 32) | place
+    order = np.lexsort((spot, owner))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (owner[order][1:] != owner[order][:-1]) | (spot[order][1:] != spot[order][:-1])
+    order = order[fresh]  # rows of equal id and text are one document
+    doc, version, spot, times = doc[order], version[order], spot[order], np.bincount(owner[order], minlength=len(one))
     least = np.minimum.reduceat(spot, np.concatenate(([0], np.cumsum(times)[:-1])))
     # For each window of each distinct string its first place: that of the string, or of an equal window elsewhere.
     base = np.concatenate(([0], np.cumsum(windows)))
@@ -214,6 +220,8 @@ def _repeated(table: pa.Table, words: int, shards: int) -> Iterator[pa.RecordBat
     if hard.any():
         which = np.flatnonzero(hard)
         bodies = table.column(4).combine_chunks().take(pa.array(one[which])).to_pylist()
+        unpack = zstandard.ZstdDecompressor().decompress
+        bodies = [unpack(b) for b in bodies]
         raw = np.frombuffer(b"".join(bodies), np.uint8)
         offsets = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))
         start, end, pointer = word_spans(raw, offsets)
@@ -241,9 +249,9 @@ def _repeated(table: pa.Table, words: int, shards: int) -> Iterator[pa.RecordBat
     if not len(r):
         return
     origin = first[run][r]
-    source = names[origin >> 32]
+    source = origin >> 32
     yield pa.RecordBatch.from_arrays(
-        [pa.array(doc[occ]), pa.array(version[occ]), pa.array(there & 0xFFFFFFFF, pa.int32()), pa.array(length[r], pa.int32()), pa.array(doc[source]), pa.array(version[source]), pa.array(origin & 0xFFFFFFFF, pa.int32())],
+        [pa.array(doc[occ]), pa.array(version[occ]), pa.array(there & 0xFFFFFFFF, pa.int32()), pa.array(length[r], pa.int32()), pa.array(names[0][source]), pa.array(names[1][source]), pa.array(origin & 0xFFFFFFFF, pa.int32())],
         ["doc_id", "version", "start", "windows", "first_doc", "first_version", "first_start"],
     )
 
@@ -262,12 +270,14 @@ def _merge(words: int, shards: int):
                 if cut < batch.num_rows:
                     yield from _repeated(pa.Table.from_batches(held), words, shards)
                     held, size = [], 0
+                    release()
                 batch = batch.slice(cut)
             if batch.num_rows:
                 held.append(batch)
                 size += batch.nbytes
         if held:
             yield from _repeated(pa.Table.from_batches(held), words, shards)
+        release()
 
     return run
 
@@ -281,7 +291,7 @@ def _runs(docs: DataFrame, words: int, shards: int) -> DataFrame:
     met = cut.repartition("anchor").sortWithinPartitions("anchor", "string").mapInArrow(_merge(words, shards), FOUND)
     one = ["doc_id", "version", "first_doc", "first_version", "shift"]
     w = Window.partitionBy(*one).orderBy("start")
-    met = met.distinct().withColumn("shift", F.col("first_start") - F.col("start"))
+    met = met.withColumn("shift", F.col("first_start") - F.col("start"))
     met = met.withColumn("new", F.when(F.lag(F.col("start") + F.col("windows")).over(w) == F.col("start"), 0).otherwise(1))
     met = met.withColumn("island", F.sum("new").over(w))
     return met.groupBy(*one, "island").agg(F.min("start").alias("start"), (F.sum("windows") + (words - 1)).cast("int").alias("n_words"), F.min("first_start").alias("first_start"))
@@ -314,17 +324,31 @@ def deduplicate(docs: DataFrame, *, words: int = WORDS, shards: int = SHARDS) ->
     """``docs`` with every repeat but its first place cut from ``text`` (and ``n_chars``, if there, counted anew)."""
     spans = _runs(docs, words, shards).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n_words")).alias("__spans"))
     spans = spans.select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), "__spans")
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else without(t.encode(), [(int(x["start"]), int(x["n_words"])) for x in s]).decode() for t, s in zip(text, spans)], dtype=object)
-
-    both = docs.join(spans, (docs["doc_id"].cast("long") == spans["__doc"]) & (F.xxhash64(docs["text"]) == spans["__version"]), "left")
-    both = both.withColumn("__text", cut("text", "__spans"))
-    fresh = {"text": F.col("__text")}
-    if "n_chars" in docs.columns:
-        fresh["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType)
-    return both.select(*(fresh.get(c, F.col(c)).alias(c) for c in docs.columns))
+    names = [f"__{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    where, key = docs.columns.index("text"), docs.columns.index("doc_id")
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)))
+    both = rows.join(spans, (F.col(names[key]).cast("long") == F.col("__doc")) & (F.xxhash64(names[where]) == F.col("__version")), "left").select(*names, "__spans")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole, where)):
+            spans, cols = b.column(b.num_columns - 1), list(b.columns[:-1])
+            hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            if len(hit):
+                text = cols[where].to_pylist()
+                n = cols[size].to_pylist() if size >= 0 else []
+                for i in hit.tolist():
+                    own = spans[i].values
+                    text[i] = without(text[i].encode(), list(zip(own.field(0).to_pylist(), own.field(1).to_pylist()))).decode()
+                    if size >= 0:
+                        n[i] = len(text[i])
+                cols[where] = pa.array(text, cols[where].type)
+                if size >= 0:
+                    cols[size] = pa.array(n, cols[size].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(b.schema)[:-1]))
+
+    done = both.mapInArrow(cut, both.drop("__spans").schema)
+    return done.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
 
 
 ORACLE_SQL = rf"""

@@ -7,11 +7,13 @@ block, or by the longest single document, and never by the number of rows of a b
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,6 +58,29 @@ def string_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nd
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 8 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of whole rows, of about ``size`` bytes in a string or binary column. Memory goes back after each."""
+    n = batch.num_rows
+    if n:
+        raw = batch.column(column)
+        at = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(raw), 0), np.int64))))
+        lo = 0
+        while lo < n:
+            hi = min(n, max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1))
+            yield batch.slice(lo, hi - lo)
+            release()
+            lo = hi
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers stay from stage to stage, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
     """Blocks of whole texts of about ``size`` bytes."""
     data, offsets = string_buffer(column)
