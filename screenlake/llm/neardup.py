@@ -6,14 +6,16 @@ A document A is a near copy of B if B ranks before it (more shingles, or as many
 copy it; that is a repeated passage.
 
 Documents of equal sets are found by a 128-bit set hash, and only one of them goes on. The others are partitioned by
-size in powers of two. For each pair of partitions the containment threshold becomes a Jaccard threshold at the largest
-ratio of sizes that the pair allows, and banding is tuned apart for each: the fewest single-value bands that find a pair
-at that threshold with probability ``recall``. Documents that share a band value are compared by 4-bit sketches, which
-lets pairs at the threshold pass at ``sketch_z`` standard deviations, and what is left is checked exactly on the texts.
+size, four partitions to each doubling. For each pair of partitions the containment threshold becomes a Jaccard
+threshold at the largest ratio of sizes that the pair allows, and banding is tuned apart for each: the fewest
+single-value bands that find a pair at that threshold with probability ``recall``. Band values are shuffled with no more
+than the id; only where a value is shared the sketches (4 bits of each of ``SKETCH`` minima) come to it. Pairs that
+share a value are let through if their sketches are as equal as a pair at the threshold for their sizes would be, less
+``sketch_z`` standard deviations; what is left is checked exactly on the texts.
 
-Checks come in two rounds, so that a group of n copies costs about n checks and not n * n: in each band value a document
-is first paired with the highest-ranked one that passes the sketch; those that no such check settles are then paired
-with every candidate. Nothing is capped.
+Checks come in two rounds, so that a group of n copies costs about n checks and not n * n: first each document is
+checked against the one most like it among those that rank highest in its band values; those that no such check settles
+are then checked against every candidate. Nothing is capped.
 
 Defined results: documents without words (null, empty) and rows without an id are never copies; rows that repeat an id
 are versions of one document, a copy if any version is; ties in size go by id; other columns are ignored by ``copies``
@@ -28,16 +30,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenlake.llm.storage import staged
-from screenlake.llm.textcols import LOWER, blocks, list_array, mix, range_hash, ranges, word_spans
+from screenlake.llm.textcols import LOWER, blocks, list_array, mix, range_hash, ranges, release, slices, word_spans
 
 SHINGLE = 3
-SKETCH = 64
+SKETCH = 256
+PARTS = 4
 _SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 _LOW4 = np.uint64(0x1111111111111111)
+#: Bytes of a sketch.
+WIDE = SKETCH // 2
 
 
 @dataclass(frozen=True)
@@ -45,28 +51,32 @@ class Ensemble:
     """Thresholds and banding by the distance of two size partitions."""
 
     threshold: float = 0.7
-    max_ratio: float = 4.0
+    max_ratio: float = 2.0
     recall: float = 0.96
     sketch_z: float = 2.2
 
-    def jaccard(self, gap: int) -> float:
-        """The least Jaccard index of a pair whose partitions are ``gap`` apart."""
-        ratio = min(self.max_ratio, 2.0 ** (gap + 1))
+    def jaccard(self, ratio: np.ndarray | float) -> np.ndarray | float:
+        """The Jaccard index at the threshold, of sets of which one is ``ratio`` times the other."""
         return self.threshold / (1 + ratio - self.threshold)
 
     def bands(self, gap: int) -> int:
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - self.jaccard(gap)) - 1e-9))
+        """Bands of partitions that are ``gap`` apart, for the largest ratio of sizes in them."""
+        j = self.jaccard(min(self.max_ratio, 2.0 ** ((gap + 1) / PARTS)))
+        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - j) - 1e-9))
 
-    @property
-    def gaps(self) -> int:
-        """Partitions further apart hold no pair within ``max_ratio``."""
-        return math.ceil(math.log2(self.max_ratio)) + 1
+    def tuned(self) -> np.ndarray:
+        """The number of bands by gap. Partitions further apart hold no pair within ``max_ratio``."""
+        return np.array([self.bands(g) for g in range(math.ceil(PARTS * math.log2(self.max_ratio)) + 1)])
 
-    def tuned(self) -> tuple[np.ndarray, np.ndarray]:
-        """By gap: the number of bands, and the least number of equal sketch values."""
-        n = [self.bands(g) for g in range(self.gaps)]
-        p = [self.jaccard(g) + (1 - self.jaccard(g)) / 16 for g in range(self.gaps)]
-        return np.array(n), np.array([max(0, math.floor(SKETCH * x - self.sketch_z * math.sqrt(SKETCH * x * (1 - x)))) for x in p])
+    def least_equal(self, ratio: np.ndarray) -> np.ndarray:
+        """How many sketch values of a pair are equal at the least."""
+        p = self.jaccard(ratio)
+        p = p + (1 - p) / 16
+        return np.floor(SKETCH * p - self.sketch_z * np.sqrt(SKETCH * p * (1 - p)))
+
+
+def partition(size: np.ndarray) -> np.ndarray:
+    return np.floor(PARTS * np.log2(size)).astype(np.int64)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +99,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seeds = _SEEDS.astype(np.uint32) | np.uint32(1)
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             for b in blocks(batch.column(1)):
                 h, pointer = shingles(b.data, b.offsets)
                 size = np.diff(pointer)
@@ -97,18 +108,21 @@ def _signatures(k: int):
                 if not len(full):
                     continue
                 at = pointer[:-1][full]
-                least = np.empty((len(full), SKETCH), np.uint64)
-                for j in range(SKETCH):
-                    least[:, j] = np.minimum.reduceat((h ^ (_SEEDS[j] >> np.uint64(3))) * _SEEDS[j], at)
-                low = mix(least)
-                sketch = np.zeros((len(full), 4), np.uint64)
+                keys = np.empty((len(full), k), np.uint64)
+                for j in range(k):
+                    keys[:, j] = np.minimum.reduceat((h ^ (_SEEDS[j] >> np.uint64(3))) * _SEEDS[j], at)
+                keys = mix(keys + np.arange(1, k + 1, dtype=np.uint64))
+                # The sketch has minima of 32 bits: half the work, and equal by chance in none of 2**20 sets.
+                short = (mix(h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)
+                sketch = np.zeros((len(full), WIDE), np.uint8)
                 for j in range(SKETCH):
-                    sketch[:, j // 16] |= (low[:, j] & np.uint64(15)) << np.uint64(4 * (j % 16))
-                keys = mix(least[:, :k] + np.arange(1, k + 1, dtype=np.uint64))
+                    least = np.minimum.reduceat((short ^ seeds[(j + 1) % SKETCH]) * seeds[j], at)
+                    sketch[:, j // 2] |= (((least * np.uint32(0x9E3779B1)) >> np.uint32(28)) << np.uint32(4 * (j % 2))).astype(np.uint8)
                 one, two = np.add.reduceat(mix(h), at), np.add.reduceat(mix(h ^ np.uint64(0x5BF03635D1FE2A4B)), at)
                 ids = batch.column(0).take(pa.array(full + b.lo))
-                cols = [ids, pa.array(size[full], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(4)), list_array(pa.array(keys.ravel().view(np.int64)), np.arange(0, keys.size + 1, k))]
-                yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([batch.schema.field(0), ("size", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), *((f"s{i}", pa.int64()) for i in range(4)), ("keys", pa.list_(pa.int64()))]))
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDE), len(full), [None, pa.py_buffer(sketch)]).cast(pa.binary())
+                cols = [ids, pa.array(size[full], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), rows, list_array(pa.array(keys.ravel().view(np.int64)), np.arange(0, keys.size + 1, k))]
+                yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([batch.schema.field(0), ("size", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))]))
 
     return run
 
@@ -143,90 +157,149 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
 
-def _pairs(tuned: tuple[np.ndarray, np.ndarray], max_ratio: float, every: bool):
-    """(a, b) in each run of equal band values, ordered by rank: b the highest-ranked that may hold a, or every such."""
-    bands, least = tuned
+def equal_values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many 4-bit values of sketches (rows of 64-bit words) are equal."""
+    out = np.zeros(len(a), np.int64)
+    for i in range(a.shape[1]):
+        x = a[:, i] ^ b[:, i]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        out += 16 - np.bitwise_count(x & _LOW4).astype(np.int64)
+    return out
+
+
+def _pairs(ensemble: Ensemble, every: bool):
+    """(a, b, equal) in each run of equal band values, ordered by rank: b the highest-ranked that may hold a, or every such."""
+    bands = ensemble.tuned()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches):
             key, band, ids, size = (t.column(i).to_numpy() for i in range(4))
-            sketch = [t.column(4 + i).to_numpy().view(np.uint64) for i in range(4)]
-            part = np.floor(np.log2(size)).astype(np.int64)
+            sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(len(key), -1)
+            part = partition(size)
             new = np.concatenate(([True], key[1:] != key[:-1]))
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            active = np.flatnonzero(t.column(8).to_numpy(zero_copy_only=False)) if every else np.arange(len(key))
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            step = 0
+            active = np.flatnonzero(t.column(5).to_numpy(zero_copy_only=False)) if every else np.arange(len(key))
+            # Sizes fall within a run: the first that isn't too large.
+            order = first * (1 << 32) - size.astype(np.int64)
+            step = np.searchsorted(order, first[active] * (1 << 32) - np.floor(ensemble.max_ratio * size[active]).astype(np.int64))
+            held: list[tuple[np.ndarray, ...]] = []
+            n = 0
             while True:
-                active = active[first[active] + step < active]
+                on = step < active
+                active, step = active[on], step[on]
                 if not len(active):
                     break
-                b = first[active] + step
+                b = step
                 gap = part[b] - part[active]
-                fine = (gap < len(bands)) & (size[b] <= max_ratio * size[active]) & (ids[b] != ids[active])
-                fine &= band[active] < bands[np.minimum(gap, len(bands) - 1)]
-                equal = np.zeros(len(active), np.int64)
-                for s in sketch:
-                    x = s[active] ^ s[b]
-                    x |= x >> np.uint64(1)
-                    x |= x >> np.uint64(2)
-                    equal += 16 - np.bitwise_count(x & _LOW4).astype(np.int64)
-                fine &= equal >= least[np.minimum(gap, len(bands) - 1)]
-                out.append((ids[active[fine]], ids[b[fine]]))
+                fine = (ids[b] != ids[active]) & (band[active] < bands[np.minimum(gap, len(bands) - 1)])
+                c = np.flatnonzero(fine)
+                equal = equal_values(sketch[active[c]], sketch[b[c]])
+                passed = equal >= ensemble.least_equal(size[b[c]] / size[active[c]])
+                c, equal = c[passed], equal[passed]
+                held.append((ids[active[c]], ids[b[c]], equal))
+                n += len(c)
                 if not every:
-                    active = active[~fine]
-                step += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], ["a", "b"])
+                    keep = np.ones(len(active), bool)
+                    keep[c] = False
+                    active, step = active[keep], step[keep]
+                step = step + 1
+                if n > 1 << 19:
+                    yield _table(held)
+                    held, n = [], 0
+            if n:
+                yield _table(held)
+            release()
 
     return run
 
 
+def _table(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    a, b, equal = (np.concatenate([x[i] for x in held]) for i in range(3))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(equal, pa.int32())], ["a", "b", "equal"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+    for batch in (part for whole in batches for part in slices(whole, 1)):
+        body = [None if x is None else pack(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], ["doc_id", "body"])
+
+
 def _contained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, containment, larger): exact, from both texts; larger if b ranks before a."""
+    """(a, b, containment, sizes) of neighbouring rows (a, b, side, body): exact, from both texts. Versions are each checked."""
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def sets(bodies: list[bytes]) -> list[np.ndarray]:
+        got: list[np.ndarray] = []
+        for x in blocks(pa.array([unpack(b) for b in bodies], pa.binary()).cast(pa.string())):
+            h, pointer = shingles(x.data, x.offsets)
+            got += np.split(h, pointer[1:-1])
+        return got
+
+    rest: list[tuple] = []
+
+    def pairs(rows: list[tuple]) -> pa.RecordBatch:
+        have = sets([r[3] for r in rows])
+        out, at = [], 0
+        while at < len(rows):
+            end = at
+            while end < len(rows) and rows[end][:2] == rows[at][:2]:
+                end += 1
+            one = [i for i in range(at, end) if rows[i][2] == 0]
+            two = [i for i in range(at, end) if rows[i][2] == 1]
+            out += [(*rows[at][:2], len(np.intersect1d(have[i], have[k], assume_unique=True)) / max(1, len(have[i])), len(have[i]), len(have[k])) for i in one for k in two]
+            at = end
+        cols = list(zip(*out)) if out else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], ["a", "b", "containment", "size_a", "size_b"])
+
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            p = batch.slice(lo, 64)
-            sets = []
-            for i in (2, 3):
-                got = []
-                for b in blocks(p.column(i)):
-                    h, pointer = shingles(b.data, b.offsets)
-                    got += np.split(h, pointer[1:-1])
-                sets.append(got)
-            share = [len(np.intersect1d(x, y, assume_unique=True)) / max(1, len(x)) for x, y in zip(*sets)]
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(share), pa.array([len(x) for x in sets[0]], pa.int32()), pa.array([len(x) for x in sets[1]], pa.int32())], ["a", "b", "containment", "size_a", "size_b"])
+        for p in slices(batch, 3, 1 << 20):
+            rest += zip(*(p.column(i).to_pylist() for i in range(4)))
+            cut = len(rest)
+            while cut and rest[cut - 1][:2] == rest[-1][:2]:
+                cut -= 1
+            if cut:
+                yield pairs(rest[:cut])
+                rest = rest[cut:]
+    if rest:
+        yield pairs(rest)
 
 
 def copies(docs: DataFrame, ensemble: Ensemble = Ensemble()) -> DataFrame:
     """(doc_id, copy_of, containment): one row for each document that is an exact or near copy, with one it copies."""
-    tuned = ensemble.tuned()
-    k = int(tuned[0].max())
+    k = int(ensemble.tuned().max())
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = staged(docs.mapInArrow(_signatures(k), "doc_id long, size int, one long, two long, s0 long, s1 long, s2 long, s3 long, keys array<long>"), "signatures")
+    signed = staged(docs.mapInArrow(_signatures(k), "doc_id long, size int, one long, two long, sketch binary, keys array<long>"), "signatures")
     sets = signed.groupBy("one", "two", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     exact = signed.select("doc_id", "one", "two", "size").join(sets.where("n > 1"), ["one", "two", "size"]).where("doc_id != first").select("doc_id", F.col("first").alias("copy_of"), F.lit(1.0).alias("containment"))
     singles = signed.join(sets.select(F.col("first").alias("doc_id"), "one", "two", "size"), ["doc_id", "one", "two", "size"], "left_semi")
-    rows = singles.select(F.posexplode("keys").alias("band", "key"), "doc_id", "size", "s0", "s1", "s2", "s3").select("key", F.col("band").cast("int").alias("band"), "doc_id", "size", "s0", "s1", "s2", "s3")
+    rows = singles.select(F.posexplode("keys").alias("band", "key"), "doc_id", "size").select("key", F.col("band").cast("int").alias("band"), "doc_id", "size")
+    met = staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, band int, doc_id long, size int"), "bands")
     order = ["key", F.desc("size"), "doc_id"]
-    form = "key long, band int, doc_id long, size int, s0 long, s1 long, s2 long, s3 long"
-    shared = staged(rows.repartition("key").sortWithinPartitions(*order).mapInArrow(_shared, form), "bands")
-    texts = staged(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    sketched = singles.select("doc_id", "size", "sketch")
+
+    def found(some: DataFrame, every: bool) -> DataFrame:
+        """Candidate pairs. ``some`` has ``open``: whether a row's document is still to be settled."""
+        full = some.join(sketched, ["doc_id", "size"]).select("key", "band", "doc_id", "size", "sketch", "open")
+        return full.repartition("key").sortWithinPartitions(*order).mapInArrow(_pairs(ensemble, every), "a long, b long, equal int")
+
+    packed = docs.where("text IS NOT NULL").mapInArrow(_packed, "doc_id long, body binary")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-        b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-        both = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "x", "y")
+        sides = F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side"))))
+        asked = pairs.select("a", "b", sides.alias("s")).select("a", "b", "s.doc_id", "s.side")
+        both = asked.join(packed, "doc_id").select("a", "b", "side", "body").repartition("a", "b").sortWithinPartitions("a", "b")
         done = both.mapInArrow(_contained, "a long, b long, containment double, size_a int, size_b int")
         before = (F.col("size_b") > F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("b") < F.col("a")))
         near = before & (F.col("size_b") <= ensemble.max_ratio * F.col("size_a")) & (F.col("containment") >= ensemble.threshold)
         best = F.max(F.struct("size_b", (-F.col("b")).alias("minus"), "containment")).alias("m")
         return done.where(near).groupBy("a").agg(best).select(F.col("a").alias("doc_id"), (-F.col("m.minus")).alias("copy_of"), F.col("m.containment").alias("containment"))
 
-    ordered = shared.repartition("key").sortWithinPartitions(*order)
-    led = staged(checked(ordered.mapInArrow(_pairs(tuned, ensemble.max_ratio, False), "a long, b long")), "led")
-    left = shared.join(led.select("doc_id", F.lit(False).alias("open")), "doc_id", "left").select("key", "band", "doc_id", "size", "s0", "s1", "s2", "s3", F.coalesce("open", F.lit(True)).alias("open"))
-    rest = checked(left.repartition("key").sortWithinPartitions(*order).mapInArrow(_pairs(tuned, ensemble.max_ratio, True), "a long, b long"))
+    likely = found(met.withColumn("open", F.lit(True)), False).groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("minus"))).alias("m"))
+    led = staged(checked(likely.select("a", (-F.col("m.minus")).alias("b"))), "led")
+    left = met.join(led.select("doc_id", F.lit(False).alias("open")), "doc_id", "left").select("key", "band", "doc_id", "size", F.coalesce("open", F.lit(True)).alias("open"))
+    rest = checked(found(left, True).select("a", "b").distinct())
     near = led.unionByName(rest)
     return near.unionByName(exact).groupBy("doc_id").agg(F.max(F.struct("containment", (-F.col("copy_of")).alias("minus"))).alias("m")).select("doc_id", (-F.col("m.minus")).alias("copy_of"), F.round("m.containment", 6).alias("containment"))
 
@@ -234,4 +307,4 @@ def copies(docs: DataFrame, ensemble: Ensemble = Ensemble()) -> DataFrame:
 def deduplicate(docs: DataFrame, ensemble: Ensemble = Ensemble()) -> DataFrame:
     """``docs`` without the copies, all columns as they were; the document that ranks first in each group stays."""
     gone = copies(docs, ensemble).select(F.col("doc_id").alias("__copy"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__copy"], "left_anti")
