@@ -3,7 +3,8 @@
 Outcomes of labelled pages (1 good, 0 bad) are binomial within a host. The good rate of a host has a beta prior around
 that of its registered domain, a domain's around that of its public suffix, a suffix's around that of all pages. How
 closely the units of a level follow their parents (the beta-binomial intra-class correlation ``rho``, of which the
-prior's strength is ``1 / rho - 1`` pages) is estimated by moments over all units of the level. So a host of many
+prior's strength is ``1 / rho - 1`` pages) is estimated by moments over all units of the level, and is the largest where no unit has two
+labelled pages. So a host of many
 labelled pages is judged by these, one of few by its domain, and one of none wholly by it. A page is rejected if even
 the upper posterior bound of its host, mean plus ``z`` posterior standard deviations, is under ``least``.
 
@@ -51,7 +52,7 @@ def _level(units: DataFrame, name: str, prior: str) -> DataFrame:
     n, good, mean = F.col("n"), F.col("good"), F.col(prior)
     spread = F.pow(good - n * mean, F.lit(2.0)) - n * mean * (1 - mean)
     pairs = n * (n - 1) * mean * (1 - mean)
-    rho = units.agg((F.sum(spread) / F.when(F.sum(pairs) > 0, F.sum(pairs))).alias("r")).select(F.greatest(F.lit(RHO_MIN), F.least(F.lit(RHO_MAX), F.round(F.coalesce("r", F.lit(0.0)), 9))).alias("r"))
+    rho = units.agg((F.sum(spread) / F.when(F.sum(pairs) > 0, F.sum(pairs))).alias("r")).select(F.greatest(F.lit(RHO_MIN), F.least(F.lit(RHO_MAX), F.round(F.coalesce("r", F.lit(RHO_MAX)), 9))).alias("r"))
     m = 1 / F.col("r") - 1
     a, b = m * mean + good, m * (1 - mean) + n - good
     units = units.crossJoin(F.broadcast(rho))  # one row
@@ -102,13 +103,13 @@ own AS (SELECT host, n, good,
 d0 AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM own GROUP BY ALL),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d0 GROUP BY ALL),
 s1 AS (SELECT *, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM s0) AS p FROM s0),
-sr AS (SELECT greatest({RHO_MIN}, least({RHO_MAX}, round(coalesce(sum((good - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 0), 9))) AS r FROM s1),
+sr AS (SELECT greatest({RHO_MIN}, least({RHO_MAX}, round(coalesce(sum((good - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), {RHO_MAX}), 9))) AS r FROM s1),
 s2 AS (SELECT suffix, ((1 / r - 1) * p + good) / ((1 / r - 1) + n) AS p FROM s1, sr),
 d1 AS (SELECT d0.*, p FROM d0 JOIN s2 USING (suffix)),
-dr AS (SELECT greatest({RHO_MIN}, least({RHO_MAX}, round(coalesce(sum((good - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 0), 9))) AS r FROM d1),
+dr AS (SELECT greatest({RHO_MIN}, least({RHO_MAX}, round(coalesce(sum((good - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), {RHO_MAX}), 9))) AS r FROM d1),
 d2 AS (SELECT domain, ((1 / r - 1) * p + good) / ((1 / r - 1) + n) AS p FROM d1, dr),
 h1 AS (SELECT own.*, p FROM own JOIN d2 USING (domain)),
-hr AS (SELECT greatest({RHO_MIN}, least({RHO_MAX}, round(coalesce(sum((good - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 0), 9))) AS r FROM h1),
+hr AS (SELECT greatest({RHO_MIN}, least({RHO_MAX}, round(coalesce(sum((good - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), {RHO_MAX}), 9))) AS r FROM h1),
 h2 AS (SELECT *, (1 / r - 1) * p + good AS a, (1 / r - 1) * (1 - p) + n - good AS b FROM h1, hr),
 h3 AS (SELECT *, a / (a + b) AS mean, sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS deviation FROM h2)
 SELECT page_id, host, domain, suffix, n::BIGINT AS n, good::BIGINT AS good, round(mean, 6) AS mean,
