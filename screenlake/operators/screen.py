@@ -98,12 +98,16 @@ def fuzzy(q: DataFrame, names: DataFrame, settings: Settings = Settings(), *, mi
     floor = settings.min_score if min_score is None else min_score
     cap = settings.max_fuzzy if cap == -1 else cap
     pool_limit = settings.pool_limit if pool_limit == -1 else pool_limit
-    rows = scored(q, candidates(q, names, pool_limit, with_phonetic=with_phonetic, phonetic_mode=phonetic_mode), floor)
+    # Only what is compared goes through blocking; what is shown comes back to the rows that are left.
+    slim = names.select("designation_id", "name_ord", "normalized", "phonetic")
+    rows = scored(q, candidates(q, slim, pool_limit, with_phonetic=with_phonetic, phonetic_mode=phonetic_mode), floor)
     best = Window.partitionBy("query_id", "designation_id").orderBy(F.desc("score"), F.desc("covered"), "arm", "name_ord")
     rows = rows.withColumn("best", F.row_number().over(best)).where("best = 1")
     if cap is not None:
         top = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("covered"), "designation_id")
         rows = rows.withColumn("place", F.row_number().over(top)).where(F.col("place") <= cap)
+    shown = names.select("designation_id", "name_ord", "name", "name_type", *SHOWN)
+    rows = rows.select("query_id", "designation_id", "name_ord", "score", "covered", "n_tokens").join(shown, ["designation_id", "name_ord"])
     return rows.select("query_id", "designation_id", *SHOWN, F.col("name").alias("matched_name"), F.col("name_type").alias("matched_name_type"), F.lit("approximate").alias("match_type"), "score", "covered", "n_tokens", F.lit(True).alias("capped"))
 
 
