@@ -53,7 +53,7 @@ def fold_text(raw: str | None) -> str | None:
 def fold(raw: Column) -> Column:
     """Compatibility-decomposed, without accents, lower case, everything but ``a-z0-9`` a blank, blanks put together."""
     one, to, none, several = _tables()
-    signs = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    signs = F.str_to_map(F.lit("\x02".join(f"{c}\x01{s}" for c, s in several.items())), F.lit("\x02"), F.lit("\x01"))
     wide = F.array_join(F.transform(F.split(raw, ""), lambda c: F.coalesce(signs[c], c)), "")
     spelt = F.when(raw.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"), wide).otherwise(raw)
     return F.trim(F.regexp_replace(F.translate(spelt, one + none, to), "[^a-z0-9]+", " "))
