@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenlake.llm.storage import staged
+
 LEAST, Z = 0.75, 1.645
 RHO_MIN, RHO_MAX = 0.001, 0.9
 #: Public suffixes of two labels; every other suffix is the last label.
@@ -65,13 +67,14 @@ def hosts(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     rows = pages.select("page_id", host_of(F.col("url")).alias("host")).where("host IS NOT NULL")
     told = rows.join(told, "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
     own = rows.select("host").distinct().join(told, "host", "left").select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.coalesce("n", F.lit(0)).cast("double").alias("n"), F.coalesce("good", F.lit(0)).cast("double").alias("good"))
+    own = staged(own, "hosts")  # the levels above read it again and again
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
     domains = own.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
     every = suffixes.agg(((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mean_all"))
     suffixes = _level(suffixes.crossJoin(F.broadcast(every)), "suffix", "mean_all")
-    domains = _level(domains.join(suffixes.select("suffix", "mean_suffix"), "suffix"), "domain", "mean_suffix")
-    got = _level(own.join(domains.select("domain", "mean_domain"), "domain"), "host", "mean_domain")
+    domains = staged(_level(domains.join(suffixes.select("suffix", "mean_suffix"), "suffix"), "domain", "mean_suffix").select("domain", "mean_domain"), "domains")
+    got = _level(own.join(domains, "domain"), "host", "mean_domain")
     return got.select("host", "domain", "suffix", F.col("n").cast("long").alias("n"), F.col("good").cast("long").alias("good"), F.col("mean_host").alias("mean"), F.sqrt("var_host").alias("deviation"))
 
 
