@@ -1,18 +1,24 @@
 """MinHash near-dedup by a containment ensemble.
 
 A document is the set of its shingles (``SHINGLE`` words in ASCII lower case; one shingle of all words if it has fewer).
-A document A is a near copy of B if B ranks before it (more shingles, or as many and a smaller id), has at most
-``max_ratio`` times its shingles, and holds at least ``threshold`` of them. Far larger documents quote A rather than
-copy it; that is a repeated passage.
+A document A is a near copy of B if B ranks before it (more shingles, or as many and a smaller id) and holds at least
+``threshold`` of its shingles, however much larger B is.
 
 Documents of equal sets are found by a 128-bit set hash, and only one of them goes on. The others are partitioned by
-size, four partitions to each doubling. For each pair of partitions the containment threshold becomes a Jaccard
+size, four partitions to each doubling. For each pair of partitions less than ``GAPS`` apart the containment threshold becomes a Jaccard
 threshold at the largest ratio of sizes that the pair allows, and banding is tuned apart for each: the fewest
 single-value bands that find a pair at that threshold with probability ``recall``. Band values are shuffled with no more
 than the id; only where a value is shared the sketches (4 bits of each of ``SKETCH`` minima) come to it. Pairs that
 share a value are let through if their sketches are as equal as a pair at the threshold for their sizes would be, less
 ``sketch_z`` standard deviations; what is left is checked exactly on the texts.
 
+From ``GAPS`` on, Jaccard thresholds sink so low that bands would outnumber shingles. There the smaller document asks
+with a sample of at most ``ASKS`` of its shingles, and every shingle of the larger ones answers. A document that holds
+``threshold`` of another has at least ``needed`` of its sample with probability ``recall`` (always, if the sample is all
+of it), so it has one of any ``k - needed + 1`` of the ``k`` that meet a larger document: the rarest of them make
+candidates, and documents of which fewer than ``needed`` meet one have none. Shingles are shuffled in buckets of packed,
+sorted hashes, as many buckets as the corpus asks for.
+
 Checks come in two rounds, so that a group of n copies costs about n checks and not n * n: first each document is
 checked against the one most like it among those that rank highest in its band values; those that no such check settles
 are then checked against every candidate. Nothing is capped.
@@ -25,13 +31,13 @@ and kept by ``deduplicate``; an empty table has no copies.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.llm.storage import staged
@@ -40,6 +46,11 @@ from screenlake.llm.textcols import LOWER, blocks, list_array, mix, range_hash,
 SHINGLE = 3
 SKETCH = 256
 PARTS = 4
+#: Partitions so far apart are compared by containment.
+GAPS = 4
+ASKS = 32
+#: Shingles of a bucket, and of what a task packs at once.
+BUCKET, CHUNK = 1 << 20, 1 << 21
 _SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 _LOW4 = np.uint64(0x1111111111111111)
 #: Bytes of a sketch.
@@ -51,7 +62,7 @@ class Ensemble:
     """Thresholds and banding by the distance of two size partitions."""
 
     threshold: float = 0.7
-    max_ratio: float = 2.0
+    max_ratio: float = math.inf
     recall: float = 0.96
     sketch_z: float = 2.2
 
@@ -65,8 +76,13 @@ class Ensemble:
         return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - j) - 1e-9))
 
     def tuned(self) -> np.ndarray:
-        """The number of bands by gap. Partitions further apart hold no pair within ``max_ratio``."""
-        return np.array([self.bands(g) for g in range(math.ceil(PARTS * math.log2(self.max_ratio)) + 1)])
+        """The number of bands by gap. Partitions further apart are compared by containment."""
+        return np.array([self.bands(g) for g in range(GAPS)])
+
+    def needed(self) -> list[int]:
+        """How many of its sampled shingles are shared at the least, of a document of 0 to ``ASKS`` shingles or, last, more."""
+        tail = [sum(math.comb(ASKS, j) * self.threshold**j * (1 - self.threshold) ** (ASKS - j) for j in range(t, ASKS + 1)) for t in range(ASKS + 1)]
+        return [max(1, math.ceil(self.threshold * n - 1e-9)) for n in range(ASKS + 1)] + [max(1, max(t for t, p in enumerate(tail) if p >= self.recall))]
 
     def least_equal(self, ratio: np.ndarray) -> np.ndarray:
         """How many sketch values of a pair are equal at the least."""
@@ -182,7 +198,7 @@ def _pairs(ensemble: Ensemble, every: bool):
             active = np.flatnonzero(t.column(5).to_numpy(zero_copy_only=False)) if every else np.arange(len(key))
             # Sizes fall within a run: the first that isn't too large.
             order = first * (1 << 32) - size.astype(np.int64)
-            step = np.searchsorted(order, first[active] * (1 << 32) - np.floor(ensemble.max_ratio * size[active]).astype(np.int64))
+            step = np.searchsorted(order, first[active] * (1 << 32) - np.floor(min(ensemble.max_ratio, 2 ** (GAPS / PARTS)) * size[active]).astype(np.int64))
             held: list[tuple[np.ndarray, ...]] = []
             n = 0
             while True:
@@ -192,7 +208,7 @@ def _pairs(ensemble: Ensemble, every: bool):
                     break
                 b = step
                 gap = part[b] - part[active]
-                fine = (ids[b] != ids[active]) & (band[active] < bands[np.minimum(gap, len(bands) - 1)])
+                fine = (ids[b] != ids[active]) & (gap < GAPS) & (band[active] < bands[np.minimum(gap, GAPS - 1)])
                 c = np.flatnonzero(fine)
                 equal = equal_values(sketch[active[c]], sketch[b[c]])
                 passed = equal >= ensemble.least_equal(size[b[c]] / size[active[c]])
@@ -219,6 +235,98 @@ def _table(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(equal, pa.int32())], ["a", "b", "equal"])
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of unsigned values, byte by byte, so that small values pack well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
+
+
+def _values(raw: bytes, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
+    out = np.zeros((8, n), np.uint8)
+    out[:width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+    return np.ascontiguousarray(out.T).reshape(-1).view("<u8"), at + n * width
+
+
+def _spread(bits: int):
+    """(bucket, body): shingles by the first ``bits`` of their 48-bit keys, with their documents, and whether they ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+
+        def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            key, asks, ids, size = (np.concatenate(x) for x in zip(*held))
+            row = np.repeat(np.arange(len(ids)), size)
+            order = np.argsort(key)
+            key, asks, row = key[order], asks[order], row[order]
+            cut = np.searchsorted(key >> np.uint64(48 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(cut))
+            rows = []
+            for lo, hi in zip(cut[full], cut[full + 1]):
+                index, place = np.unique(row[lo:hi], return_inverse=True)
+                n = np.array([hi - lo, len(index)])
+                rows.append(pack(n.tobytes() + _planes(np.diff(key[lo:hi], prepend=np.uint64(0)), 6) + _planes(place, 4) + _planes(np.diff(ids[index], prepend=0).view(np.uint64), 8) + _planes(size[index], 4) + np.packbits(asks[lo:hi]).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "body"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            for b in blocks(batch.column(1)):
+                h, pointer = shingles(b.data, b.offsets)
+                size = np.diff(pointer)
+                ids = np.asarray(batch.column(0).slice(b.lo, b.hi - b.lo))
+                held.append((mix(h ^ np.uint64(0x1B873593CC9E2D51)) >> np.uint64(16), np.arange(len(h)) - np.repeat(pointer[:-1], size) < ASKS, ids, size))
+                n += len(h)
+                if n > CHUNK:
+                    yield packed(held)
+                    held, n = [], 0
+                    release()
+        if n:
+            yield packed(held)
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, size, part, larger, holds) of shingles that ask and meet ``larger`` far larger documents, and of those that they meet."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for t in runs(batches):
+        bucket = t.column(0).to_numpy()
+        bodies = t.column(1).combine_chunks()
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            held = []
+            for i in range(lo, hi):
+                raw = unpack(bodies[i].as_py())
+                n, docs = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+                key, at = _values(raw, 16, n, 6)
+                place, at = _values(raw, at, n, 4)
+                ids, at = _values(raw, at, docs, 8)
+                size, at = _values(raw, at, docs, 4)
+                place = place.astype(np.int64)
+                held.append((np.cumsum(key), np.cumsum(ids.view(np.int64))[place], size.astype(np.int32)[place], np.unpackbits(np.frombuffer(raw, np.uint8, offset=at), count=n).astype(bool)))
+            key, ids, size, asks = (np.concatenate(x) for x in zip(*held))
+            part = partition(size)
+            # By key, then from the largest partition down.
+            low = (key << np.uint64(8)) | (255 - part).astype(np.uint64)
+            order = np.argsort(low)
+            low, key, ids, size, asks, part = low[order], key[order], ids[order], size[order], asks[order], part[order]
+            q = np.flatnonzero(asks)
+            first = np.searchsorted(key, key[q])
+            larger = np.searchsorted(low, (key[q] << np.uint64(8)) | (255 - part[q] - GAPS).astype(np.uint64), "right") - first
+            q, first, larger = q[larger > 0], first[larger > 0], larger[larger > 0]
+            cover = np.zeros(len(key) + 1, np.int64)
+            np.add.at(cover, first, 1)
+            np.add.at(cover, first + larger, -1)
+            holds = np.cumsum(cover)[:-1] > 0
+            met = np.zeros(len(key), np.int64)
+            met[q] = larger
+            keep = np.flatnonzero(holds | (met > 0))
+            for at in range(0, len(keep), 1 << 18):
+                k = keep[at : at + (1 << 18)]
+                cols = [pa.array(key[k].astype(np.int64)), pa.array(ids[k]), pa.array(size[k]), pa.array(part[k], pa.int32()), pa.array(met[k]), pa.array(holds[k])]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "size", "part", "larger", "holds"])
+            release()
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
     for batch in (part for whole in batches for part in slices(whole, 1)):
@@ -300,10 +408,28 @@ def copies(docs: DataFrame, ensemble: Ensemble = Ensemble()) -> DataFrame:
     led = staged(checked(likely.select("a", (-F.col("m.minus")).alias("b"))), "led")
     left = met.join(led.select("doc_id", F.lit(False).alias("open")), "doc_id", "left").select("key", "band", "doc_id", "size", F.coalesce("open", F.lit(True)).alias("open"))
     rest = checked(found(left, True).select("a", "b").distinct())
-    near = led.unionByName(rest)
+    near = led.unionByName(rest).unionByName(_far(docs, signed, led.select("doc_id").union(exact.select("doc_id")), checked, ensemble))
     return near.unionByName(exact).groupBy("doc_id").agg(F.max(F.struct("containment", (-F.col("copy_of")).alias("minus"))).alias("m")).select("doc_id", (-F.col("m.minus")).alias("copy_of"), F.round("m.containment", 6).alias("containment"))
 
 
+def _far(docs: DataFrame, signed: DataFrame, settled: DataFrame, checked: Callable[[DataFrame], DataFrame], ensemble: Ensemble) -> DataFrame:
+    """Copies of documents at least ``GAPS`` partitions larger, among documents that aren't settled."""
+    total = signed.agg(F.sum("size")).first()[0] or 1
+    bits = min(30, max(4, math.ceil(math.log2(total / BUCKET))))
+    spread = docs.where("text IS NOT NULL").mapInArrow(_spread(bits), "bucket int, body binary")
+    met = staged(spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "key long, doc_id long, size int, part int, larger long, holds boolean"), "met")
+    need = F.element_at(F.array(*map(F.lit, ensemble.needed())), F.least("size", F.lit(ASKS + 1)) + 1)
+    own = Window.partitionBy("a", "size")
+    asks = met.where("larger > 0").select("key", F.col("doc_id").alias("a"), "size", "part", "larger").withColumn("spare", F.count("*").over(own) - need)
+    rare = asks.where("spare >= 0").withColumn("place", F.row_number().over(own.orderBy("larger", "key"))).where("place <= spare + 1")
+    rare = rare.join(settled.select(F.col("doc_id").alias("a")), "a", "left_anti").select("key", "a", "part")
+    holds = met.where("holds").select("key", F.col("doc_id").alias("b"), F.col("part").alias("part_b"))
+    pairs = staged(rare.join(holds, "key").where(f"part_b >= part + {GAPS} AND a != b").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+    likely = pairs.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("minus"))).alias("m"))
+    led = staged(checked(likely.select("a", (-F.col("m.minus")).alias("b"))), "far-led")
+    return led.unionByName(checked(pairs.join(led.select(F.col("doc_id").alias("a")), "a", "left_anti").select("a", "b")))
+
+
 def deduplicate(docs: DataFrame, ensemble: Ensemble = Ensemble()) -> DataFrame:
     """``docs`` without the copies, all columns as they were; the document that ranks first in each group stays."""
     gone = copies(docs, ensemble).select(F.col("doc_id").alias("__copy"))

@@ -141,6 +141,25 @@ def test_near_copies_are_found(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - have
 
 
+def test_copies_in_far_larger_documents_are_found(spark):
+    r = random.Random(5)
+    rows, want = [], set()
+    for i in range(40):
+        part = words(prose(r, r.choice([4, 6, 12, 30, 60, 200])))
+        ratio = r.choice([3, 5, 20, 60])
+        rows.append((2 * i, " ".join([prose(r, len(part) * (ratio - 1)), *part, prose(r, 9)])))
+        rows.append((2 * i + 1, " ".join(part)))
+        want.add(2 * i + 1)
+    # Common passages: most of one document, half of the other.
+    line = prose(r, 40)
+    rows += [(100 + i, f"{prose(r, 200)} {line} {prose(r, 200)}") for i in range(30)]
+    rows += [(200, f"{line} {prose(r, 8)}"), (201, f"{line} {prose(r, 40)}")]
+    want.add(200)
+    assert brute_copies(rows, neardup.Ensemble(max_ratio=math.inf)) == want
+    got = {c.doc_id: c.containment for c in neardup.copies(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert set(got) == want and all(got[i] == 1.0 for i in want - {200})
+
+
 def test_banding_follows_the_threshold():
     e = neardup.Ensemble()
     for gap, n in enumerate(e.tuned()):
