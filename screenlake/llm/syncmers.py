@@ -3,9 +3,10 @@
 A k-mer (``k`` bytes of the text in ASCII lower case, any white space as a blank) is an anchor if the smallest of its
 inner s-mers, by a 32-bit hash, is its first or its last one. Whether it is depends on its own bytes alone, so equal
 passages of at least ``k`` bytes have equal anchors at equal distances, whatever stands around them; about
-``2 / (k - s + 1)`` of all k-mers are anchors, and at least one of any ``k - s + 1`` in a row is.
+``2 / (k - s + 1)`` of all k-mers are anchors, and at least one of any ``k - s + 1`` in a row is. So a stretch of
+``2 * k - s`` bytes (40) without an edit keeps an anchor. A text that has none, as it is short, is one itself.
 
-Defined results: null and empty texts, and texts under ``k`` bytes, have no anchors; an s-mer as small as the first or
+Defined results: null and empty texts have no anchors; all others have at least one; an s-mer as small as the first or
 last counts as no smaller (ties choose); repeated rows each get their row; other columns are ignored.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from screenlake.llm.textcols import LOWER, blocks, list_array, range_hash, sliding_min
 
-K, S = 64, 16
+K, S = 24, 8
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,6 +40,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, k: int = K, s: int = S) -> tu
     return doc, at - offsets[doc], range_hash(low, at, at + k)
 
 
+def whole(data: np.ndarray, offsets: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``anchors``, with the whole text as the anchor of each that isn't empty and has none."""
+    doc, at, h = anchors(data, offsets, k, s)
+    bare = np.flatnonzero((np.bincount(doc, minlength=len(offsets) - 1) == 0) & (np.diff(offsets) > 0))
+    if not len(bare):
+        return doc, at, h
+    place = np.searchsorted(doc, bare)
+    own = range_hash(LOWER[data], offsets[bare], offsets[bare + 1])
+    return np.insert(doc, place, bare), np.insert(at, place, 0), np.insert(h, place, own)
+
+
 def fingerprint(docs: DataFrame, *, k: int = K, s: int = S) -> DataFrame:
     """(doc_id, n_anchors, positions, hashes) for every row of ``docs``, in one pass without a shuffle."""
     if not 0 < s < k:
@@ -47,7 +59,7 @@ def fingerprint(docs: DataFrame, *, k: int = K, s: int = S) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(1)):
-                doc, at, h = anchors(b.data, b.offsets, k, s)
+                doc, at, h = whole(b.data, b.offsets, k, s)
                 n = np.bincount(doc, minlength=b.hi - b.lo)
                 pointer = np.concatenate(([0], np.cumsum(n)))
                 cols = [batch.column(0).slice(b.lo, b.hi - b.lo), pa.array(n, pa.int32()), list_array(pa.array(at, pa.int32()), pointer), list_array(pa.array(h.view(np.int64)), pointer)]

@@ -103,6 +103,21 @@ def test_syncmers_are_context_free_and_dense():
     assert sets[0] == sets[1] and sets[0]
 
 
+def test_equal_and_lightly_edited_texts_share_anchors(spark):
+    r = np.random.default_rng(4)
+    words = lambda n: ["".join(r.choice(list("abcdefghij"), r.integers(3, 9))) for _ in range(n)]
+    texts = {}
+    for n in range(1, 131):
+        texts[n] = texts[1000 + n] = " ".join(words(40))[:n]
+    for i in range(20):
+        own = words(60)
+        texts[2000 + i] = " ".join(own)
+        texts[3000 + i] = " ".join("zz" if j % 10 == 9 else w for j, w in enumerate(own))
+    got = {x.doc_id: x.hashes for x in syncmers.fingerprint(table(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    assert all(got[n] and got[n] == got[1000 + n] for n in range(1, 131))
+    assert all(len(set(got[2000 + i]) & set(got[3000 + i])) >= 3 for i in range(20))
+
+
 def test_syncmers_of_awkward_tables(spark):
     got = {r.doc_id: r for r in syncmers.fingerprint(awkward(spark)).collect()}
     assert got[3].n_anchors == got[4].n_anchors == 0 and got[6].n_anchors == len(got[6].positions) == len(got[6].hashes) > 1000
