@@ -363,6 +363,55 @@ def screen_graph_nodes(spark, sf_dir):
     return ownership.screened(nodes, cw.names(spark, sf_dir))[0].select("root", "lei", "legal_name", "missing", "matches", "has_more")
 
 
+# The same from every customer. No SQL: its recursion is one walk for all roots; tests hold them against brute force.
+
+
+def _every_root(spark, sf_dir):
+    return cw.table(spark, sf_dir, "customer").where("c_custkey IS NOT NULL").select(cw.lei(F.col("c_custkey")).alias("root")).distinct()
+
+
+@query()
+def bulk_relationships_both(spark, sf_dir):
+    leis = _every_root(spark, sf_dir).withColumn("lei", F.col("root"))
+    return ownership.relationships(cw.relationships(spark, sf_dir), leis, "both").select("lei", "neighbour", "role", "relationship_type")
+
+
+def _bulk_node_query(name: str, direction: str, depth: int) -> None:
+    def run(spark, sf_dir):
+        return ownership.trace(_every_root(spark, sf_dir), cw.relationships(spark, sf_dir), direction, depth)[0]
+
+    run.__name__ = name
+    query()(run)
+
+
+_bulk_node_query("bulk_trace_parents", "parents", 5)
+_bulk_node_query("bulk_trace_children", "children", 2)
+_bulk_node_query("bulk_trace_both", "both", 3)
+
+
+@query()
+def bulk_trace_edges(spark, sf_dir):
+    return ownership.trace(_every_root(spark, sf_dir), cw.relationships(spark, sf_dir), "both", 2)[1].select("root", *ownership.EDGE)
+
+
+@query()
+def bulk_trace_truncated(spark, sf_dir):
+    return ownership.trace(_every_root(spark, sf_dir), cw.relationships(spark, sf_dir), "parents", 2)[2]
+
+
+@query()
+def bulk_missing_entities(spark, sf_dir):
+    nodes = ownership.trace(_every_root(spark, sf_dir), cw.relationships(spark, sf_dir), "parents", 5)[0]
+    return ownership.hydrated(nodes, cw.entities(spark, sf_dir)).where("missing").select("root", "lei")
+
+
+@query()
+def bulk_screen_graph_nodes(spark, sf_dir):
+    e = cw.entities(spark, sf_dir).withColumn("legal_name", F.col("other_names")[0])
+    nodes = ownership.hydrated(ownership.trace(_every_root(spark, sf_dir), cw.relationships(spark, sf_dir), "parents", 3)[0], e)
+    return ownership.screened(nodes, cw.names(spark, sf_dir))[0].select("root", "lei", "legal_name", "missing", "matches", "has_more")
+
+
 # State and merges
 
 

@@ -1,9 +1,12 @@
 import pytest
+from conftest import SF
 from fixture_corpus import designations, edges, entities
 
 from screenlake.config import InvalidRequest, NotFound, NotReady
 from screenlake.operators import merge, ownership, records, render, screen
 from screenlake.operators.names import name_index, screenable
+from screenlake.plans import catalog
+from screenlake.plans import crosswalk as cw
 from screenlake.schemas import MIRROR_STATE
 
 E = "IS_DIRECTLY_CONSOLIDATED_BY"
@@ -121,3 +124,43 @@ def test_vet_and_render(spark):
     hits, facts_ = screen.screen(screen.queries_of(spark, ["Ivan Volkow"]), names)
     assert "score 1.000, 2/2" in render.hits(screen.page(hits), facts_)
     assert "Ivan Wolkow" in render.record(d.where("id = 'ofac_sdn:FX-1001'"))
+
+
+def walked(steps, root, depth):
+    """({lei: (depth, role)}, edges, truncated) by brute force."""
+    seen, held, level = {root: (0, "root")}, set(), [root]
+    for d in range(1, depth + 1):
+        fresh = {}
+        for lei in sorted(level):
+            for turn, other, edge in sorted(steps.get(lei, [])):
+                held.add(edge)
+                if other not in seen:
+                    fresh.setdefault(other, (d, "child" if turn else "parent"))
+        seen |= fresh
+        level = list(fresh)
+    return seen, held, any(edge not in held for lei in level for _, _, edge in steps.get(lei, []))
+
+
+def test_bulk_walks_start_from_every_customer(spark):
+    rows = [tuple(r) for r in cw.relationships(spark, SF).select(*ownership.EDGE).collect()]
+    every = {r.root for r in cw.table(spark, SF, "customer").select(cw.lei(catalog.F.col("c_custkey")).alias("root")).collect()}
+    known = {r.lei for r in cw.entities(spark, SF).select("lei").collect()}
+    steps = {"parents": {}, "children": {}, "both": {}}
+    for e in rows:
+        for way in ("parents", "both"):
+            steps[way].setdefault(e[0], []).append((0, e[1], e))
+        for way in ("children", "both"):
+            steps[way].setdefault(e[1], []).append((int(e[0] != e[1]), e[0], e))
+    got = lambda name: sorted(tuple(r) for r in catalog.QUERIES[name](spark, SF).collect())
+    walk = lambda way, depth: {r: walked(steps[way], r, depth) for r in every}
+    assert len(every) > 100
+    for name, way, depth in (("bulk_trace_parents", "parents", 5), ("bulk_trace_children", "children", 2), ("bulk_trace_both", "both", 3)):
+        assert got(name) == sorted((r, lei, *x) for r, (seen, _, _) in walk(way, depth).items() for lei, x in seen.items())
+    assert got("bulk_trace_edges") == sorted((r, *e) for r, (_, held, _) in walk("both", 2).items() for e in held)
+    assert got("bulk_trace_truncated") == sorted((r, cut) for r, (_, _, cut) in walk("parents", 2).items())
+    assert got("bulk_missing_entities") == sorted((r, lei) for r, (seen, _, _) in walk("parents", 5).items() for lei in seen if lei not in known)
+    assert got("bulk_relationships_both") == sorted((lei, other, "child" if turn else "parent", e[2]) for lei in every for turn, other, e in steps["both"].get(lei, []))
+    nodes = got("bulk_screen_graph_nodes")
+    assert sorted(n[:2] for n in nodes) == sorted((r, lei) for r, (seen, _, _) in walk("parents", 3).items() for lei in seen)
+    few = [tuple(r) for r in catalog.QUERIES["screen_graph_nodes"](spark, SF).collect()]
+    assert few and set(few) <= set(nodes)
