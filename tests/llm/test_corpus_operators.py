@@ -34,31 +34,59 @@ def brute_neighbours(ids, x, k):
     return out
 
 
-@pytest.mark.parametrize("kind", ["clusters", "ties", "even"])
+SMALL = mtree.Shape(cell=60, fan=4, page=8, batch=40)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "ties", "even", "copies"])
 def test_neighbours_are_exact(spark, kind):
     r = np.random.default_rng(1)
-    x = {"clusters": r.normal(size=(8, 6))[r.integers(0, 8, 300)] + 0.05 * r.normal(size=(300, 6)), "ties": r.integers(0, 3, (300, 3)).astype(float), "even": r.normal(size=(300, 8))}[kind]
+    x = {"clusters": r.normal(size=(8, 6))[r.integers(0, 8, 300)] + 0.05 * r.normal(size=(300, 6)), "ties": r.integers(0, 3, (300, 3)).astype(float), "even": r.normal(size=(300, 8)), "copies": np.where(r.random((300, 1)) < 0.4, 1.0, r.normal(size=(300, 3)))}[kind]
     ids = list(range(300))
-    df = spark.createDataFrame([(i, v, "x") for i, v in zip(ids, x.tolist())], "vec_id long, embedding array<double>, distance string")
-    got = sorted(tuple(q) for q in mtree.neighbours(df, 5, cell=70, page=16, batch=100).collect())
-    assert got == sorted(brute_neighbours(ids, x, 5))
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in zip(ids, x.tolist())], "vec_id long, embedding array<double>, distance string, node int")
+    got = sorted(tuple(q) for q in mtree.neighbours(df, 5, every=3, shape=SMALL).collect())
+    assert got == sorted(q for q in brute_neighbours(ids, x, 5) if q[0] % 3 == 0)
+
+
+def test_the_tree_has_levels_and_bounds_hold(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(12, 4))[r.integers(0, 12, 600)] + 0.05 * r.normal(size=(600, 4))
+    had, _, n, width = mtree.points(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"))
+    forest = mtree.Forest(had, width, SMALL)
+    nodes = {q.node: q for q in forest.nodes.collect()}
+    home = {q.vec_id: q.node for q in forest.home.collect()}
+    assert n == 600 and len(home) == 600 and any(q.inner for q in nodes.values())
+    size = Counter(home.values())
+    assert all(not nodes[c].inner and k <= SMALL.cell for c, k in size.items())
+    for i, c in home.items():
+        while c:
+            assert np.linalg.norm(x[i] - nodes[c].embedding) <= nodes[c].radius + 1e-9
+            c = nodes[c].parent
+    for q in nodes.values():
+        if q.parent:
+            assert abs(np.linalg.norm(np.array(q.embedding) - nodes[q.parent].embedding) - q.to_parent) < 1e-9
+    assert Counter(q.node for q in forest.pages.where("radius < 0").collect()) == size
+    near = forest.reached(had.where("vec_id % 20 = 0").selectExpr("vec_id", "embedding", "0.3D AS reach")).count()
+    assert near < 0.6 * 30 * len(size)  # most cells are ruled out
 
 
 def test_bounds_save_comparisons():
     r = np.random.default_rng(2)
     x = r.normal(size=(20, 4))[r.integers(0, 20, 2000)] * 10 + 0.1 * r.normal(size=(2000, 4))
-    ids = np.arange(2000)
-    t = mtree.Tree.build(ids, x, x[0], 64)
-    t.search(ids, x, mtree.distance(x, x[0][None, :]), np.full(2000, np.inf), 10)
+    ids, to = np.arange(2000), mtree.distance(x, x[0][None, :])
+    t = mtree.Tree.build(ids, x, to, 64)
+    t.search(ids, x, to, np.full(2000, np.inf), 10)
     assert t.compared < 0.25 * 2000 * 2000
 
 
 def test_neighbours_of_awkward_tables(spark):
     rows = [(1, [0.0, 0.0]), (1, [9.0, 9.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [0.0, 0.0]), (8, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted(tuple(q) for q in mtree.neighbours(df, 10).collect())
+    got = sorted(tuple(q) for q in mtree.neighbours(df, 10, every=1).collect())
     assert got == [(1, 1, 3, 0.0), (1, 2, 2, 1.0), (2, 1, 1, 1.0), (2, 2, 3, 1.0), (3, 1, 1, 0.0), (3, 2, 2, 1.0)]
-    assert mtree.neighbours(df.limit(0)).count() == 0 and mtree.neighbours(df.where("vec_id = 1")).count() == 0
+    assert mtree.neighbours(df.limit(0)).count() == 0 and mtree.neighbours(df.where("vec_id = 1"), every=1).count() == 0
+    text = df.selectExpr("concat('v.', vec_id) AS vec_id", "embedding", "1 AS `a.b`", "2 AS __node")
+    got = {(q.vec_id, q.neighbour, q.distance) for q in mtree.neighbours(text, every=1).collect()}
+    assert got == {("v.1", "v.3", 0.0), ("v.1", "v.2", 1.0), ("v.2", "v.1", 1.0), ("v.2", "v.3", 1.0), ("v.3", "v.1", 0.0), ("v.3", "v.2", 1.0)}
 
 
 # Host reputation
