@@ -1,23 +1,25 @@
 """LM scoring: masked pseudo-likelihood under a bidirectional window network.
 
-Tokens are the bytes of a text in 32 classes (letters without case or accent, white space, digits, marks, others). The
-network sees the two tokens on either side of a masked one, embeds each by its place, and gives a distribution over the
-classes through one hidden layer. Its training set is the table of all windows of the corpus with their counts, gathered
-from every document: each task counts its own windows, a shuffle adds them up. The table can't have more than 2**25
-rows, however large the corpus is; one task trains on it by Adam in numpy, on windows drawn by their counts. A score is
-the sum over all tokens of the log-probability of each given both sides.
-
-As there are 2**20 contexts, every worker evaluates the network once for each of them and looks up all tokens of all
-texts in that table.
-
-Defined results: a null text has null scores; an empty text has 0 tokens, the sum 0 and no mean; outside a text there is
-white space; a corpus without tokens has a network of equal probabilities; repeated rows are scored each on its own and
-counted each; other columns are ignored.
+Tokens are the bytes of a text, all 256 of them, so every script counts alike. The network sees ``SIDE`` bytes on either
+side of a masked one. Each is embedded, the embeddings go through one hidden layer of rectified units, and a two-level softmax gives the
+distribution of the masked byte: its high half, then its low half given the high one. A score is the sum over all bytes
+of a text of the log-probability of each given both sides.
+
+Training is distributed, in numpy, and every byte of the corpus is trained on: documents are dealt to ``rounds`` by a hash
+of their text; in a round each task starts from the common weights and takes Adam steps over all windows of its own
+documents of that round, ``batch`` at a time, drawn from all over a block of texts; the weights are then averaged, each
+task's by its bytes, as sums by weight in a shuffle. So the steps, and what is gathered, grow with the corpus, and only
+the averages, of a fixed number, come to the driver. The biases start from the counts of all bytes of all texts.
+
+Defined results: a null text has null scores; an empty text has 0 tokens, the sum 0 and no mean; outside a text stands a
+symbol of its own; a corpus without bytes has a network of equal probabilities; repeated rows are trained on and scored
+each; a very long text is read in chunks; ids are of any type and may be null; other columns, whatever they are called,
+are ignored. Which windows share a task follows from how the table is split, so scores differ a little between
+layouts of the same rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,191 +27,226 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.llm.textcols import blocks, segment_sums
-
-CLASSES, BLANK = 32, 26
-HIDDEN, STEPS, BATCH, RATE = 48, 400, 8192, 0.01
-TOKEN = np.full(256, 29, np.uint8)
-for _c in b"abcdefghijklmnopqrstuvwxyz":
-    TOKEN[_c] = TOKEN[_c - 32] = _c - 97
-for _c in b"\t\n\x0b\x0c\r ":
-    TOKEN[_c] = BLANK
-TOKEN[48:58] = 27
-for _c in b".,;:!?'\"-":
-    TOKEN[_c] = 28
-TOKEN[0x80:0xC0] = 31
-TOKEN[0xC0:] = 30
-#: The second byte of an accented Latin letter, read as the letter.
-_LATIN = TOKEN.copy()
-for _cp in range(0xC0, 0x100):
-    import unicodedata as _u
-
-    _b = _u.normalize("NFKD", chr(_cp))[0].lower()
-    if "a" <= _b <= "z":
-        _LATIN[chr(_cp).encode()[1]] = ord(_b) - 97
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each token its window as 25 bits: two left, two right, itself."""
-    t = TOKEN[data]
-    if len(data) > 1:
-        latin = np.flatnonzero(data[:-1] == 0xC3) + 1
-        t[latin] = _LATIN[data[latin]]
-    t = t.astype(np.uint32)
-    n = len(t)
-    full = np.diff(offsets) > 0
-    first, last = offsets[:-1][full], offsets[1:][full] - 1
-    key = t.copy()
-    for shift, by in ((15, 1), (20, 2)):
-        side = np.full(n, BLANK, np.uint32)
-        side[by:] = t[:-by]
-        for j in range(by):
-            at = first + j
-            side[at[at <= last]] = BLANK
-        key |= side << np.uint32(shift)
-    for shift, by in ((10, 1), (5, 2)):
-        side = np.full(n, BLANK, np.uint32)
-        side[: n - by] = t[by:]
-        for j in range(by):
-            at = last - j
-            side[at[at >= first]] = BLANK
-        key |= side << np.uint32(shift)
-    return key
-
-
-def _runs(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and their counts."""
-    if n is None:
-        key = np.sort(key)
-    else:
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return key[new], np.diff(np.append(new, len(key))) if n is None else (np.add.reduceat(n, new) if len(new) else n)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = [], []
-    for batch in batches:
-        for b in blocks(batch.column(0)):
-            k, n = _runs(windows(b.data, b.offsets))
-            keys.append(k), counts.append(n.astype(np.int64))
-            if len(keys) >= 16:
-                k, n = _runs(np.concatenate(keys), np.concatenate(counts))
-                keys, counts = [k], [n]
-    if keys:
-        k, n = _runs(np.concatenate(keys), np.concatenate(counts))
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n)], ["window", "n"])
+from screenlake.llm.ids import named
+from screenlake.llm.textcols import Block, blocks
 
+SIDE, WIDTH, HIDDEN = 5, 8, 24
+ROUNDS, BATCH, RATE = 3, 4096, 0.02
+#: Stands outside of texts.
+OUTSIDE = 256
 
-class Network:
-    """Place-wise embeddings of four neighbours, a hidden layer and a softmax over the classes."""
 
-    def __init__(self, weights: list[np.ndarray]) -> None:
-        self.place, self.bias, self.out, self.out_bias = weights
+class Network:
+    """Weights as views of one vector. Arrays have one column for each token."""
+
+    def __init__(self, theta: np.ndarray | None = None, side: int = SIDE, width: int = WIDTH, hidden: int = HIDDEN) -> None:
+        self.side, self.width, self.hidden = side, width, hidden
+        shapes = {"embedding": (width, 257), "inner": (hidden, 2 * side * width), "bias": (hidden,), "high": (16, hidden), "high_bias": (16,), "low": (16, 16, hidden), "low_bias": (16, 16)}
+        size = sum(int(np.prod(s)) for s in shapes.values())
+        self.theta = np.zeros(size, np.float32) if theta is None else theta
+        at = 0
+        for name, shape in shapes.items():
+            n = int(np.prod(shape))
+            setattr(self, name, self.theta[at : at + n].reshape(shape))
+            at += n
 
     @classmethod
-    def start(cls, hidden: int, seed: int = 0) -> "Network":
+    def start(cls, counts: np.ndarray, seed: int = 0, **shape: int) -> "Network":
+        """Biases give each byte its share of ``counts``."""
+        net = cls(**shape)
         r = np.random.default_rng(seed)
-        return cls([r.normal(0, 0.3, (4, CLASSES, hidden)).astype(np.float32), np.zeros(hidden, np.float32), np.zeros((hidden, CLASSES), np.float32), np.zeros(CLASSES, np.float32)])
-
-    def weights(self) -> list[np.ndarray]:
-        return [self.place, self.bias, self.out, self.out_bias]
-
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        parts = [self.place[i][(context >> (15 - 5 * i)) & 31] for i in range(4)]
-        return np.tanh(parts[0] + parts[1] + parts[2] + parts[3] + self.bias)
-
-    def log_probabilities(self, context: np.ndarray) -> np.ndarray:
-        z = self.hidden(context) @ self.out + self.out_bias
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def gradient(self, context: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
-        n = len(token)
-        h = self.hidden(context)
-        z = h @ self.out + self.out_bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), token] -= 1
-        p /= n
-        d = (p @ self.out.T) * (1 - h * h)
-        place = np.empty_like(self.place)
-        for i in range(4):
-            one = np.zeros((n, CLASSES), np.float32)
-            one[np.arange(n), (context >> (15 - 5 * i)) & 31] = 1
-            place[i] = one.T @ d
-        return [place, d.sum(0), h.T @ p, p.sum(0)]
-
-    def table(self) -> np.ndarray:
-        """Log-probabilities by window."""
-        out = np.empty((1 << 20, CLASSES), np.float16)
-        for lo in range(0, 1 << 20, 1 << 15):
-            out[lo : lo + (1 << 15)] = self.log_probabilities(np.arange(lo, lo + (1 << 15)))
-        return out.ravel()
-
-
-def train(window: np.ndarray, n: np.ndarray, hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 0) -> Network:
-    """Adam on windows drawn with replacement by their counts; the order of the table's rows doesn't matter."""
-    net = Network.start(hidden, seed)
-    if not len(window):
+        net.embedding[:] = r.normal(0, 0.5, net.embedding.shape)
+        net.inner[:] = r.normal(0, (net.side * net.width) ** -0.5, net.inner.shape)
+        share = (counts + 1.0).reshape(16, 16)
+        net.high_bias[:] = np.log(share.sum(1) / share.sum())
+        net.low_bias[:] = np.log(share / share.sum(1, keepdims=True))
         return net
-    order = np.argsort(window)
-    window, total = window[order].astype(np.int64), np.cumsum(n[order])
-    r = np.random.default_rng(seed + 1)
-    net.out_bias[:] = np.log((np.bincount(window & 31, n[order], CLASSES) + 1) / (total[-1] + CLASSES))
-    m, v = [np.zeros_like(w) for w in net.weights()], [np.zeros_like(w) for w in net.weights()]
-    for step in range(1, steps + 1):
-        key = window[np.searchsorted(total, r.integers(0, total[-1], batch), "right")]
-        now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        for w, g, a, b in zip(net.weights(), net.gradient(key >> 5, key & 31), m, v):
-            a += 0.1 * (g - a)
-            b += 0.001 * (g * g - b)
-            w -= (now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return net
-
-
-def window_counts(docs: DataFrame) -> DataFrame:
-    """(window, n) over all texts."""
-    return docs.select("text").mapInArrow(_count, "window int, n bigint").groupBy("window").agg(F.sum("n").alias("n"))
 
-
-def fit(docs: DataFrame, **how: int) -> list[np.ndarray]:
-    """Trained in one task; only the weights, of a fixed size, come to the driver."""
+    def forward(self, piece: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Log-probabilities of the symbols of each row of ``piece`` but for ``side`` at either end, 0 for those outside; what ``gradient`` needs."""
+        side, width = self.side, self.width
+        rows, m = piece.shape[0], piece.shape[1] - 2 * side
+        n = rows * m
+        near = np.ascontiguousarray(self.embedding.T).take(piece, 0)
+        x = np.empty((rows, m, 2, side * width), np.float32)
+        step = (*near.strides[:2], near.strides[2])
+        for i in (0, 1):
+            x[:, :, i] = np.lib.stride_tricks.as_strided(near[:, i * (side + 1) :], (rows, m, side * width), step)
+        x = x.reshape(n, -1)
+        h = x @ self.inner.T
+        h += self.bias
+        np.maximum(h, 0, out=h)
+        token = piece[:, side : side + m].ravel()
+        real = token < OUTSIDE
+        token = token.astype(np.uint8)  # 0 for those outside
+        top, bottom = token >> 4, token & 15
+        z = self.high @ h.T
+        z += self.high_bias[:, None]
+        p, place, logp = _softmax(z, top)
+        order = np.argsort(top, kind="stable")
+        edge = np.concatenate(([0], np.cumsum(np.bincount(top, minlength=16))))
+        hs, zl = h.take(order, 0), np.empty((16, n), np.float32)
+        for v in np.flatnonzero(np.diff(edge)):
+            s = slice(edge[v], edge[v + 1])
+            zl[:, s] = self.low[v] @ hs[s].T
+            zl[:, s] += self.low_bias[v][:, None]
+        q, place_low, low = _softmax(zl, bottom[order])
+        logp[order] += low
+        return logp * real, (piece, x, h, hs, p, q, place, place_low, order, edge, real)
+
+    def gradient(self, kept: tuple) -> np.ndarray:
+        """Of the mean negative log-probability of the real tokens, as one vector. What ``forward`` kept is used up."""
+        piece, x, h, hs, p, q, place, place_low, order, edge, real = kept
+        out = Network(np.zeros_like(self.theta), self.side, self.width, self.hidden)
+        n = len(order)
+        share = real.astype(np.float32) / np.float32(max(1, int(real.sum())))
+        for v, at, own in ((p, place, share), (q, place_low, share[order])):
+            v /= v.sum(0)
+            v.reshape(-1)[at] -= 1
+            v *= own
+        out.high[:], out.high_bias[:] = p @ h, p.sum(1)
+        back = np.empty_like(hs)
+        for v in np.flatnonzero(np.diff(edge)):
+            s = slice(edge[v], edge[v + 1])
+            out.low[v], out.low_bias[v] = q[:, s] @ hs[s], q[:, s].sum(1)
+            back[s] = q[:, s].T @ self.low[v]
+        d = np.empty_like(back)
+        d[order] = back
+        d += p.T @ self.high
+        d *= h > 0
+        out.inner[:], out.bias[:] = d.T @ x, d.sum(0)
+        rows, m = piece.shape[0], piece.shape[1] - 2 * self.side
+        dx = (self.inner.T @ d.T).reshape(2 * self.side, self.width, rows, m)
+        near = np.zeros((self.width, *piece.shape), np.float32)
+        for i in range(2 * self.side):
+            at = i + (i >= self.side)
+            near[:, :, at : at + m] += dx[i]
+        flat = piece.ravel()
+        for w in range(self.width):
+            out.embedding[w] = np.bincount(flat, near[w].ravel(), 257)
+        return out.theta
+
+
+def _softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(what is in proportion to the probabilities, the place of row ``at`` of each column, its log-probability)."""
+    z -= z.max(0)
+    place = at.astype(np.int64)
+    place *= z.shape[1]
+    place += np.arange(z.shape[1])
+    own = z.reshape(-1).take(place)
+    np.exp(z, out=z)
+    return z, place, own - np.log(z.sum(0))
+
+
+class Adam:
+    """Steps of a network."""
+
+    def __init__(self, net: Network, rate: float) -> None:
+        self.net, self.rate, self.t = net, rate, 0
+        self.m, self.v = np.zeros_like(net.theta), np.zeros_like(net.theta)
+
+    def step(self, piece: np.ndarray) -> None:
+        _, kept = self.net.forward(piece)
+        g = self.net.gradient(kept)
+        self.t += 1
+        self.m += 0.1 * (g - self.m)
+        self.v += 0.001 * (g * g - self.v)
+        self.net.theta -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+
+
+def symbols(b: Block, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the texts of a block with ``side`` symbols from outside around each, where each begins)."""
+    n = np.diff(b.offsets)
+    start = b.offsets[:-1] + side * np.arange(1, len(n) + 1)
+    out = np.full(len(b.data) + side * (len(n) + 1), OUTSIDE, np.uint16)
+    out[np.arange(len(b.data)) + np.repeat(start - b.offsets[:-1], n)] = b.data
+    return out, start
+
+
+def pieces(x: np.ndarray, side: int, batch: int) -> Iterator[np.ndarray]:
+    """All windows of a block in batches of about ``batch``, each with runs of 64 from all over it."""
+    run = min(64, batch)
+    rows = max(1, min(batch // run, -(-len(x) // run)))
+    length = -(-len(x) // (rows * run)) * run
+    wide = np.full(rows * length + 2 * side, OUTSIDE, np.uint16)
+    wide[side : side + len(x)] = x
+    view = np.lib.stride_tricks.as_strided(wide, (rows, length + 2 * side), (2 * length, 2))
+    for j in range(0, length, run):
+        piece = view[:, j : j + run + 2 * side]
+        if (piece[:, side : side + run] < OUTSIDE).any():
+            yield piece
+
+
+def byte_counts(docs: DataFrame) -> np.ndarray:
+    """How often each byte is in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        key = np.concatenate([b.column(0).to_numpy() for b in got] or [np.zeros(0, np.int32)])
-        n = np.concatenate([b.column(1).to_numpy() for b in got] or [np.zeros(0, np.int64)])
-        net = train(key, n, **how)
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in net.weights()]), pa.array(range(4), pa.int32())], ["w", "i"])
+        n = np.zeros(256, np.int64)
+        for batch in batches:
+            for b in blocks(batch.column(0)):
+                n += np.bincount(b.data, minlength=256)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some])], ["byte", "n"])
+
+    out = np.zeros(256)
+    for row in docs.select("text").mapInArrow(run, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
+        out[row.byte] = row.n
+    return out
+
+
+def fit(docs: DataFrame, *, rounds: int = ROUNDS, batch: int = BATCH, rate: float = RATE, epochs: int = 1, seed: int = 0, **shape: int) -> Network:
+    """Weights averaged over tasks after each round; each text is in one round, and trained on ``epochs`` times there."""
+    net = Network.start(byte_counts(docs), seed, **shape)
+    for turn in range(rounds):
+        start, now = net.theta.copy(), rate * (1 - turn / (rounds + 1))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Network(start.copy(), net.side, net.width, net.hidden)
+            adam, n = Adam(own, now), 0
+            for got in batches:
+                for b in blocks(got.column(0)):
+                    x, _ = symbols(b, own.side)
+                    for _ in range(epochs):
+                        for piece in pieces(x, own.side, batch):
+                            adam.step(piece)
+                    n += len(b.data)
+            if n:
+                at = np.arange(len(own.theta), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.theta.astype(np.float64) * n), pa.array(np.full(len(at), n, np.int64))], ["i", "w", "n"])
+
+        mine = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)).select("text")
+        rows = mine.mapInArrow(run, "i int, w double, n bigint").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # a row for each weight
+        for row in rows:
+            net.theta[row.i] = row.w
+    return net
+
 
-    rows = window_counts(docs).repartition(1).mapInArrow(run, "w binary, i int").collect()
-    have = Network.start(how.get("hidden", HIDDEN)).weights()
-    for row in rows:
-        have[row.i] = np.frombuffer(row.w, np.float32).reshape(have[row.i].shape)
-    return have
+def log_likelihoods(net: Network, b: Block) -> np.ndarray:
+    """The score of each text of a block."""
+    x, start = symbols(b, net.side)
+    out = np.zeros(len(x) + 1)
+    for lo in range(net.side, len(x) - net.side, BATCH):
+        hi = min(lo + BATCH, len(x) - net.side)
+        out[lo:hi] = net.forward(x[None, lo - net.side : hi + net.side])[0]
+    total = np.concatenate(([0.0], np.cumsum(out)))
+    return total[start + np.diff(b.offsets)] - total[start]
 
 
-def score(docs: DataFrame, **how: int) -> DataFrame:
+def score(docs: DataFrame, **how: float) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row of ``docs``, by a network trained on them."""
-    weights = fit(docs, **how)
-    name = hashlib.md5(b"".join(w.tobytes() for w in weights)).hexdigest()
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(named("doc_id").alias("doc_id"), named("text").alias("text"))
+    fitted = fit(rows, **how)
+    theta, shape = fitted.theta, (fitted.side, fitted.width, fitted.hidden)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[name] = Network(weights).table()
-        table = _TABLES[name]
+        net = Network(theta, *shape)
         for batch in batches:
             null = batch.column(1).is_null()
             for b in blocks(batch.column(1)):
-                total = segment_sums(table[windows(b.data, b.offsets)].astype(np.float64), b.offsets)
-                n = np.diff(b.offsets)
+                total, n = log_likelihoods(net, b), np.diff(b.offsets)
                 no = null.slice(b.lo, b.hi - b.lo).to_numpy(zero_copy_only=False)
                 cols = [batch.column(0).slice(b.lo, b.hi - b.lo), pa.array(n, pa.int64(), mask=no), pa.array(np.round(total, 6), mask=no), pa.array(np.round(total / np.maximum(n, 1), 6), mask=no | (n == 0))]
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([batch.schema.field(0), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("mean_log_likelihood", pa.float64())]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
