@@ -40,12 +40,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenlake.llm.ids import key_of, named
 from screenlake.llm.storage import staged
-from screenlake.llm.textcols import LOWER, blocks, list_array, mix, range_hash, ranges, release, segment_sums, slices, word_spans
+from screenlake.llm.textcols import LOWER, blocks, list_array, mix, range_hash, ranges, release, slices, word_spans
 
 SHINGLE = 3
 SKETCH = 256
@@ -56,7 +56,9 @@ ASKS = 128
 #: Of the asked shingles that candidates must hold, how many are looked for at the least.
 HELD = 3
 #: Shingles of a bucket, and of what a task packs at once.
-BUCKET, CHUNK = 1 << 20, 1 << 21
+BUCKET, CHUNK = 1 << 19, 1 << 20
+#: Of 2 ** SPARE random shingles one is taken for another, whatever the size of the corpus; checks are exact.
+SPARE = 13
 #: Smaller texts that go to one copy of a larger one.
 GUESTS = 4096
 _SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
@@ -283,8 +285,8 @@ def _values(raw: bytes, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(out.T).reshape(-1).view("<u8"), at + n * width
 
 
-def _spread(bits: int):
-    """(bucket, body): shingles by the first ``bits`` of their 48-bit keys, with their documents, and whether they ask."""
+def _spread(bits: int, wide: int):
+    """(bucket, body): shingles by the first ``bits`` of their ``wide``-bit keys, with their documents, and whether they ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
@@ -294,13 +296,13 @@ def _spread(bits: int):
             row = np.repeat(np.arange(len(ids)), size)
             order = np.argsort(key, kind="stable")
             key, asks, row = key[order], asks[order], row[order]
-            cut = np.searchsorted(key >> np.uint64(48 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            cut = np.searchsorted(key >> np.uint64(wide - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cut))
             rows = []
             for lo, hi in zip(cut[full], cut[full + 1]):
                 index, place = np.unique(row[lo:hi], return_inverse=True)
                 n = np.array([hi - lo, len(index)])
-                rows.append(pack(n.tobytes() + _planes(np.diff(key[lo:hi], prepend=np.uint64(0)), 6) + _planes(place, 4) + _planes(np.diff(ids[index], prepend=0).view(np.uint64), 8) + _planes(size[index], 4) + np.packbits(asks[lo:hi]).tobytes()))
+                rows.append(pack(n.tobytes() + _planes(np.diff(key[lo:hi], prepend=np.uint64(0)), 8) + _planes(place, 4) + _planes(np.diff(ids[index], prepend=0).view(np.uint64), 8) + _planes(size[index], 4) + np.packbits(asks[lo:hi]).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "body"])
 
         held: list[tuple[np.ndarray, ...]] = []
@@ -313,7 +315,7 @@ def _spread(bits: int):
                 ids = np.zeros(len(size), np.int64)
                 if full.any():
                     ids[full] = _set_hash(h, pointer[:-1][full])
-                held.append((mix(h ^ np.uint64(0x1B873593CC9E2D51)) >> np.uint64(16), np.arange(len(h)) - np.repeat(pointer[:-1], size) < ASKS, ids, size))
+                held.append((mix(h ^ np.uint64(0x1B873593CC9E2D51)) >> np.uint64(64 - wide), np.arange(len(h)) - np.repeat(pointer[:-1], size) < ASKS, ids, size))
                 n += len(h)
                 if n > CHUNK:
                     yield packed(held)
@@ -338,7 +340,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(lo, hi):
                 raw = unpack(bodies[i].as_py())
                 n, docs = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-                key, at = _values(raw, 16, n, 6)
+                key, at = _values(raw, 16, n, 8)
                 place, at = _values(raw, at, n, 4)
                 ids, at = _values(raw, at, docs, 8)
                 size, at = _values(raw, at, docs, 4)
@@ -373,11 +375,42 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.flatnonzero(holds | (met > 0))
             for at in range(0, len(keep), 1 << 18):
                 k = keep[at : at + (1 << 18)]
-                cols = [pa.array(key[k].astype(np.int64)), pa.array(ids[k]), pa.array(size[k]), pa.array(part[k], pa.int32()), pa.array(met[k]), pa.array(top[k]), pa.array(holds[k])]
+                cols = [pa.array(key[k].astype(np.int64)), pa.array(ids[k]), pa.array(size[k]), pa.array(part[k], pa.int32()), pa.array(met[k], pa.int32()), pa.array(top[k]), pa.array(holds[k])]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "doc", "size", "part", "larger", "top", "holds"])
             release()
 
 
+def _alive(ensemble: Ensemble):
+    """Rows (a, size, larger, key, top) by a, rarest first, to (a, part, key, held, top, n): of those of which enough meet larger
+    classes, the rarest, of which ``held`` must be shared; ``top`` is the class that answers most, ``n`` times."""
+    need = np.array(ensemble.needed())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches):
+            a, size, key, top = (t.column(i).to_numpy() for i in (0, 1, 3, 4))
+            edge = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
+            n = np.diff(edge)
+            least = need[np.minimum(size[edge[:-1]], ASKS + 1)]
+            on = np.flatnonzero(n >= least)
+            if not len(on):
+                continue
+            held = np.minimum(HELD, least[on])
+            take = np.minimum(n[on] - least[on] + held, n[on])
+            rows = ranges(edge[on], take)
+            every = ranges(edge[on], n[on])
+            of = np.repeat(np.arange(len(on)), n[on])
+            order = np.lexsort((top[every], of))
+            of, tops = of[order], top[every][order]
+            run_ = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (tops[1:] != tops[:-1]))))
+            times = np.diff(np.append(run_, len(of)))
+            best = np.lexsort((times, of[run_]))  # the last of each has most
+            last = np.flatnonzero(np.append(of[run_][best][1:] != of[run_][best][:-1], True))
+            who, many = tops[run_][best][last], times[best][last]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[rows], partition(size[rows]).astype(np.int32), key[rows], np.repeat(held, take).astype(np.int32), np.repeat(who, take), np.repeat(many, take))], ["a", "part", "key", "held", "top", "n"])
+
+    return run
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
     for batch in (part for whole in batches for part in slices(whole, 1)):
@@ -464,23 +497,18 @@ def _classes(docs: DataFrame, ensemble: Ensemble) -> Classes:
 
     total = firsts.agg(F.sum("size")).first()[0] or 1
     bits = min(30, max(4, math.ceil(math.log2(total / BUCKET))))
-    spread = rows.select("text").mapInArrow(_spread(bits), "bucket int, body binary")
-    far = staged(spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "key long, doc long, size int, part int, larger long, top long, holds boolean"), "met")
-    need = F.element_at(F.array(*map(F.lit, ensemble.needed())), F.least("size", F.lit(ASKS + 1)) + 1)
-    asks = far.where("larger > 0").select("key", F.col("doc").alias("a"), "size", "part", "larger", "top", need.alias("need"))
-    counts = asks.groupBy("a").agg((F.count("*") - F.first("need")).alias("spare")).where("spare >= 0")
-    asks = staged(asks.join(counts, "a"), "asks")
-
-    one = F.max(F.struct("n", "b")).alias("m")
-    likely = near(met.withColumn("open", F.lit(True)), False).groupBy("a", "b").agg(F.max("equal").alias("n")).groupBy("a").agg(one)
-    largest = asks.groupBy("a", F.col("top").alias("b")).agg(F.count("*").alias("n")).groupBy("a").agg(one)
-    led = staged(checked(likely.unionByName(largest).select("a", "m.b")), "led")
+    spread = rows.select("text").mapInArrow(_spread(bits, min(56, max(bits, math.ceil(math.log2(total))) + SPARE)), "bucket int, body binary")
+    far = staged(spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "key long, doc long, size int, part int, larger int, top long, holds boolean"), "met")
+    asks = far.where("larger > 0").select(F.col("doc").alias("a"), "size", "larger", "key", "top").repartition("a").sortWithinPartitions("a", "larger", "key")
+    asks = staged(asks.mapInArrow(_alive(ensemble), "a long, part int, key long, held int, top long, n long"), "asks")
+
+    likely = near(met.withColumn("open", F.lit(True)), False).groupBy("a").agg(F.max(F.struct("equal", "b")).alias("m")).select("a", "m.b")
+    led = staged(checked(likely.unionByName(asks.select("a", F.col("top").alias("b")))), "led")
 
     settled = led.select("doc", F.lit(False).alias("open"))
     left = met.join(settled, "doc", "left").select("key", "band", "doc", "size", "rank", F.coalesce("open", F.lit(True)).alias("open"))
-    own = Window.partitionBy("a").orderBy("larger", "key")
-    held = F.least(F.lit(HELD), F.col("need"))
-    rare = asks.join(settled.select(F.col("doc").alias("a")), "a", "left_anti").withColumn("held", held).withColumn("place", F.row_number().over(own)).where("place <= spare + held")
+    left = left.join(left.where("open").select("key").distinct(), "key", "left_semi")
+    rare = asks.join(settled.select(F.col("doc").alias("a")), "a", "left_anti").select("key", "a", "part", "held")
     holds = far.where("holds").select("key", F.col("doc").alias("b"), F.col("part").alias("part_b"))
     apart = rare.join(holds, "key").where(f"part_b >= part + {GAPS} AND a != b").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("held").alias("held")).where("n >= held")
     links = led.unionByName(checked(near(left, True).select("a", "b").unionByName(apart.select("a", "b"))))
