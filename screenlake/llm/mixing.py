@@ -8,13 +8,16 @@ how many tokens of a document count, so that they add up to the budget exactly;
 only one not counted in full.
 
 Texts aren't moved: ``schedule`` shuffles ids and counts, and ``mix`` needs no more than a whole number of epochs and
-the last key for each source, so it reads the documents once and shuffles nothing of them.
+the last key for each source. It shuffles no text but that of the document in which a budget ends, and cuts that after
+the word that the budget ends with, so that ``mix`` keeps budgets to the token as well.
 
 Weights that aren't given are the square roots of the sources' sizes, in millionths; the total that isn't given is that
 of the table. Defined results: null and empty texts have no tokens and take no budget; a null source is the source
 ``''``; a source with no given weight, or of no tokens, takes nothing; a given source without documents is left out, its
 budget too; ties of keys go by id, then by the number of tokens; repeated rows, and rows without an id, are documents of
-their own; an empty table gives no rows; other columns are ignored by ``schedule`` and kept by ``mix``.
+their own (of equal ones any may be those taken); a very long text is one document; ids that aren't integers tie by a
+64-bit hash; an empty table gives no rows; other columns, whatever they are called, are ignored by ``schedule`` and kept
+by ``mix`` (``n_chars``, if there, is counted anew in a text that is cut).
 """
 
 from __future__ import annotations
@@ -26,7 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenlake.llm import ids
+from screenlake.llm.ids import named
 from screenlake.llm.storage import staged
+from screenlake.llm.textcols import word_spans
 
 MILLION = 1_000_000
 WORD = r"[^ \t\n\x0B\f\r]+"
@@ -58,10 +64,15 @@ def budgets(sizes: DataFrame, weights: dict[str, float] | None, total: int | Non
     return got.select("source", "size", "budget", F.expr("budget div size").alias("epochs"), F.expr("budget % size").alias("rest"))
 
 
+def source_of(docs: DataFrame) -> Column:
+    return F.coalesce(named("source").cast("string"), F.lit(""))
+
+
 def _ranged(docs: DataFrame, seed: int) -> DataFrame:
-    """(range, source, key, doc_id, n_tokens, local): sorted by source and key; ``local`` is the prefix sum in the range."""
-    rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), key_of(F.col("doc_id"), seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), tokens_of(F.col("text")).alias("n_tokens"))
-    order = ["source", "key", "doc_id", "n_tokens"]
+    """(range, source, key, id, n_tokens, doc_id, local): sorted by source and key; ``local`` is the prefix sum in the range."""
+    rows = docs.select(source_of(docs).alias("source"), key_of(named("doc_id"), seed).alias("key"), ids.key_of(docs, "doc_id").alias("id"), tokens_of(named("text")).alias("n_tokens"), named("doc_id").alias("doc_id"))
+    order = ["source", "key", "id", "n_tokens"]
+    kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +93,7 @@ def _ranged(docs: DataFrame, seed: int) -> DataFrame:
             last, before = names[code[-1]], int(local[-1] + n[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local)], names=[*batch.schema.names, "local"])
 
-    return staged(rows.mapInArrow(run, "source string, key long, doc_id long, n_tokens long, range int, local long"), "ranges")
+    return staged(rows.mapInArrow(run, f"source string, key long, id long, n_tokens long, doc_id {kind}, range int, local long"), "ranges")
 
 
 def _placed(docs: DataFrame, weights: dict[str, float] | None, total: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -105,19 +116,50 @@ def schedule(docs: DataFrame, *, weights: dict[str, float] | None = None, total:
     return got.select("doc_id", "source", "epoch", "key", "start", "n_tokens", taken.alias("taken"))
 
 
+def first_words(text: str, n: int) -> str:
+    """A text up to the end of its ``n``-th word."""
+    raw = text.encode()
+    _, end, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return text if n >= len(end) else raw[: end[n - 1]].decode()
+
+
 def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 0) -> DataFrame:
-    """``docs``, each row as often as ``schedule`` takes it, all columns as they were."""
+    """``docs``, each row as often as ``schedule`` takes it, all columns as they were; the last of a budget only as far as it counts."""
     placed, planned = _placed(docs, weights, total, seed)
-    rank = F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "n_tokens")
-    ends = placed.where("n_tokens > 0 AND start < rest").groupBy("source").agg(F.max(rank).alias("end"))
-    cut = staged(planned.join(ends, "source", "left").select(F.col("source").alias("__source"), "epochs", F.col("end")), "cuts")
-    own = F.struct(key_of(F.col("doc_id"), seed).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), tokens_of(F.col("text")).alias("n_tokens"))
-    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(*(F.col(c).alias(names[c]) for c in docs.columns), own.alias("__own"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"))
-    met = rows.where("__own.n_tokens > 0").join(cut, "__source")
-    times = (F.col("epochs") + F.when(F.col("__own") <= F.col("end"), 1).otherwise(0)).cast("int")
-    met = met.withColumn("__times", times).where("__times > 0")
-    return met.select(*(F.col(names[c]) for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__time")).select(*(F.col(names[c]).alias(c) for c in docs.columns))
+    none = F.lit(-(1 << 63))
+    placed = placed.where("n_tokens > 0").withColumn("at", F.struct("key", F.coalesce("id", none).alias("id")))
+    ends = placed.where("start < rest").groupBy("source").agg(F.max("at").alias("end"))
+    opened = placed.join(ends, "source").where(F.col("at") == F.col("end")).groupBy("source").agg(F.min("start").alias("first"))
+    cut = planned.join(ends, "source", "left").join(opened, "source", "left").select(F.col("source").alias("__source"), "end", F.struct("epochs", "rest", "first").alias("__plan"))
+    cut = staged(cut, "cuts")
+    names = [f"__{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    text = F.col(names[docs.columns.index("text")])
+    own = F.struct(key_of(named("doc_id"), seed).alias("key"), F.coalesce(ids.key_of(docs, "doc_id"), none).alias("id"))
+    rows = docs.select(*(named(c).alias(n) for c, n in zip(docs.columns, names)), own.alias("__own"), source_of(docs).alias("__source")).join(cut, "__source")
+    last = F.col("__own") == F.col("end")
+    times = (F.col("__plan.epochs") + F.when(F.col("__own") < F.col("end"), 1).otherwise(0)).cast("int")
+    whole = rows.where(~F.coalesce(last, F.lit(False))).withColumn("__times", times).where(F.col("__times") > 0).where(text.rlike(WORD))
+    whole = whole.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)
+    # The documents of one key in which a budget ends: one, unless its id is repeated.
+    edge = rows.where(last).withColumn("__n", tokens_of(text)).where("__n > 0")
+    start = F.col("__plan.first") + F.sum("__n").over(Window.partitionBy("__source").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    edge = edge.withColumn("__take", F.greatest(F.lit(0), F.least(F.col("__n"), F.col("__plan.rest") - start)))
+    counts = F.concat(F.array_repeat(F.col("__n"), F.col("__plan.epochs").cast("int")), F.when(F.col("__take") > 0, F.array(F.col("__take"))).otherwise(F.array()))
+    edge = edge.withColumn("__take", F.explode(counts)).select(*names, "__take")
+    where, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(b.columns[:-1])
+            old = cols[where].to_pylist()
+            new = [first_words(t, n) for t, n in zip(old, b.column(b.num_columns - 1).to_pylist())]
+            cols[where] = pa.array(new, cols[where].type)
+            if size >= 0:
+                cols[size] = pa.array([n if x == y else len(y) for n, x, y in zip(cols[size].to_pylist(), old, new)], cols[size].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(b.schema)[:-1]))
+
+    got = whole.unionByName(edge.mapInArrow(trim, whole.schema))
+    return got.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
 
 
 ORACLE_SQL = r"""

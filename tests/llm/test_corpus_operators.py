@@ -336,11 +336,32 @@ def test_mixture_is_exact(spark):
             assert 0 < x.taken <= x.n_tokens
         assert {s: n for s, n in want.items() if n} == dict(have)
         mixed = mixing.mix(docs, **how)
-        assert mixed.columns == docs.columns and Counter(q.doc_id for q in mixed.collect()) == Counter(q.doc_id for q in got)
+        out = mixed.collect()
+        assert mixed.columns == docs.columns and Counter(q.doc_id for q in out) == Counter(q.doc_id for q in got)
+        made = Counter()
+        for q in out:
+            made[q.source or ""] += len(words(q.text))
+            assert q.n_chars == len(q.text)
+        assert made == have  # to the token
     assert mixing.schedule(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
     assert mixing.schedule(docs, weights={"none": 1.0}).count() == 0
 
 
+def test_mixture_of_awkward_tables(spark):
+    r = random.Random(8)
+    rows = [(f"d.{i % 20}", prose(r, 9), "abc"[i % 3], i, i) for i in range(60)] + [("same", "one two three", "a", 0, 0)] * 9 + [(None, "x y", None, 1, 1), ("e", "", "a", 1, 1), ("n", None, "b", 1, 1), ("long", "w " * 90_000, "c", 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, `meta.url` int, __0 int")
+    for total in (50, 300, 90_500):
+        out, plan = mixing.mix(docs, total=total), mixing.schedule(docs, total=total)
+        assert out.columns == docs.columns and plan.schema["doc_id"].dataType.simpleString() == "string"
+        want, made = Counter(), Counter()
+        for q in plan.collect():
+            want[q.source] += q.taken
+        for q in out.collect():
+            made[q.source or ""] += len(words(q.text))
+        assert made == want and total - 5 <= sum(want.values()) <= total
+
+
 def test_mixture_prefix_sums(spark):
     docs = table(spark, [(i, "w " * (i % 7 + 1), "en", "a" if i % 3 else "b") for i in range(300)])
     rows = sorted(mixing.schedule(docs, weights={"a": 1.0, "b": 1.0}, total=5000).where("epoch = 0").collect(), key=lambda q: (q.source, q.start))
