@@ -4,11 +4,15 @@ A text is halved until a piece has at most ``leaf`` characters; pieces are encod
 the tree. A join re-encodes a window that grows to both sides of the seam until each of its outer ends is a *cut*: a
 place where white space follows something that isn't white space. The pretokenising pattern can't match across such a
 place, wherever the match began, and from it on it looks at nothing to its left. So tokens outside the window are those
-of the joined text, for any vocabulary. Where a side has no cut the window takes the whole of it. Decoding concatenates
-the bytes of tokens, half by half.
+of the joined text, for any vocabulary. Where a seam lies in a long run of one kind of characters (letters, digits, marks
+or white space), which the pattern keeps whole, a window of tokens of the run grows instead until both its outer pairs are
+stable: until a token and its neighbour, encoded together, are these two again. A sequence of which all neighbouring pairs
+are stable is the encoding of its bytes, so nothing outside such a window changes. Where neither is found the window takes
+the whole side. Decoding concatenates the bytes of tokens, half by half.
 
 Defined results: a null text has null tokens and counts; an empty text has no tokens; the round trip of each text is
-checked and reported. Repeated rows are encoded each on its own, all other columns are ignored by ``encode``.
+checked and reported. Repeated rows are encoded each on its own; a very long text is a taller tree; ids are of any type and
+may be null; all other columns, whatever they are called, are ignored by ``encode``.
 """
 
 from __future__ import annotations
@@ -19,13 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 #: Folder of the public vocabulary files; they are read where they lie.
 VOCABULARY_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEAF = 8192
+LEAF = 512
+#: Characters to either side of a seam that make a long run.
+RUN = 256
+_RUNS = regex.compile(r"\p{L}+|\p{N}+|[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+")
 _CODERS: dict[str, "Coder"] = {}
 
 
@@ -56,17 +64,51 @@ class Coder:
         """Tokens of ``a + b`` from those of ``a`` and of ``b``."""
         if not a or not b:
             return left if a else right
-        width = 16
-        while (i := _cut_before(a, width)) is None:
-            width *= 4
-        width = 16
-        while (j := _cut_after(b, width)) is None:
-            width *= 4
+        near = self._growing(_cut_before, a), self._growing(_cut_after, b)
+        if None in near:
+            joined = self._inside(a, left, b, right)
+            if joined is not None:
+                return joined
+        i, j = (self._growing(f, t, whole=True) if c is None else c for f, t, c in zip((_cut_before, _cut_after), (a, b), near))
         seam = np.asarray(self.encoding.encode_ordinary(a[i:] + b[:j]), np.int32)
         keep = self._held(left, len(a[i:].encode()), last=True)
         drop = self._held(right, len(b[:j].encode()), last=False)
         return np.concatenate((left[: len(left) - keep], seam, right[drop:]))
 
+    @staticmethod
+    def _growing(cut, text: str, whole: bool = False) -> int | None:
+        """The cut nearest to the seam, within ``RUN`` characters or anywhere."""
+        width = 4 * RUN if whole else 16
+        while (at := cut(text, width)) is None:
+            width *= 4
+            if width > RUN and not whole:
+                return None
+        return at
+
+    def _inside(self, a: str, left: np.ndarray, b: str, right: np.ndarray) -> np.ndarray | None:
+        """Where the seam is inside a long run: tokens of it, re-encoded as far as pairs aren't stable."""
+        around = a[-RUN:] + b[:RUN]
+        if len(around) < 2 * RUN or _RUNS.fullmatch(around) is None:
+            return None
+        # The outer characters may belong to other pieces: a blank before letters, the last one of white space.
+        room = min(len(a[-RUN + 2 :].encode()), len(b[: RUN - 2].encode()))
+        n = 1
+        while n < min(len(left), len(right)):
+            one, two = left[len(left) - n :], right[:n]
+            if max(int(self.sizes[one].sum()), int(self.sizes[two].sum())) + int(self.sizes[[left[-n - 1], right[n]]].max()) > room:
+                return None
+            mid = self._piece(b"".join(map(self.pieces.__getitem__, [*one.tolist(), *two.tolist()])))
+            if self._stable(int(left[-n - 1]), mid[0]) and self._stable(mid[-1], int(right[n])):
+                return np.concatenate((left[: len(left) - n], np.asarray(mid, np.int32), right[n:]))
+            n *= 2
+        return None
+
+    def _piece(self, raw: bytes) -> list[int]:
+        return self.encoding._encode_single_piece(raw)
+
+    def _stable(self, x: int, y: int) -> bool:
+        return self._piece(self.pieces[x] + self.pieces[y]) == [x, y]
+
     def _held(self, tokens: np.ndarray, size: int, last: bool) -> int:
         """How many tokens at an end make up exactly ``size`` bytes."""
         if not size:

@@ -2,14 +2,16 @@
 
 Each language (each value of ``lang``) has a model of byte trigrams, hashed to 2**16 cells, counted over all documents
 that name it. A document is a mixture: each word comes from one language, with the likelihood of its trigrams, and
-expectation-maximisation estimates the proportions. The set of languages is the one with the highest likelihood less a
+expectation-maximisation estimates the proportions, until none moves by more than ``TOLERANCE``. The set of languages is the one with the highest likelihood less a
 penalty of ``penalty * ln(words)`` for each language beyond the first: the best single language is compared with the
 mixture of all, and where that gains more than one penalty, languages are taken away one by one, that of the smallest
 loss first, each set being fitted anew.
 
 Defined results: a text without words (null, empty, white space) has no language, no shares and a null likelihood;
 documents without ``lang`` are scored and not counted; without any language no row has one; ties go to the language that
-comes first by name; repeated rows count and are scored each; other columns are ignored.
+comes first by name; repeated rows count and are scored each; a very long text is one mixture, for which a task holds a
+number for each of its words and languages; ids are of any type and may be null; other columns, whatever they are
+called, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from screenlake.llm.textcols import LOWER, blocks, segment_sums, word_spans
 
 CELLS = 1 << 16
-PENALTY, ITERATIONS = 3.0, 12
+PENALTY, ITERATIONS, TOLERANCE = 3.0, 100, 1e-4
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -70,32 +72,43 @@ def counts(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def model(table: np.ndarray) -> np.ndarray:
-    """(CELLS, languages) log-probabilities, with half a count added to each cell."""
-    return np.log((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * CELLS)).T.astype(np.float32).copy()
+    """(languages, CELLS) log-probabilities, with half a count added to each cell."""
+    return np.log((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * CELLS)).astype(np.float32)
 
 
-def mixture(like: np.ndarray, top: np.ndarray, pointer: np.ndarray, allowed: np.ndarray, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
-    """EM: (shares, log-likelihood) of each document. ``like`` has the likelihood of each word in each language over the
-    largest, whose logarithm is ``top``; ``allowed`` is a mask of each document's languages."""
+def mixture(like: np.ndarray, top: np.ndarray, pointer: np.ndarray, allowed: np.ndarray, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM: (shares, log-likelihood, loss of it without each language) of each document. ``like`` has the likelihood of each word in
+    each language over the largest, whose logarithm is ``top``; ``allowed`` is a mask of each document's languages."""
     n = np.diff(pointer)
     share = allowed / np.maximum(allowed.sum(1, keepdims=True), 1)
-    base = segment_sums(top, pointer)
+    open_ = np.flatnonzero(n > 0)
+    word = np.arange(len(like))
+    at = pointer
     for _ in range(iterations):
-        r = like * np.repeat(share, n, axis=0).astype(np.float32)
+        if not len(open_):
+            break
+        m = n[open_]
+        r = like[word] * np.repeat(share[open_], m, axis=0).astype(np.float32)
         r /= np.maximum(r.sum(1, keepdims=True), 1e-30)
-        new = np.column_stack([segment_sums(r[:, k], pointer) for k in range(like.shape[1])]) / np.maximum(n, 1)[:, None]
-        share = np.where(n[:, None] > 0, new, share)
-    p = (like * np.repeat(share, n, axis=0).astype(np.float32)).sum(1)
-    return share, base + segment_sums(np.log(np.maximum(p, 1e-30)), pointer)
+        at = np.concatenate(([0], np.cumsum(m)))
+        new = np.column_stack([segment_sums(r[:, k], at) for k in range(like.shape[1])]) / m[:, None]
+        moved = np.abs(new - share[open_]).max(1) > TOLERANCE
+        share[open_] = new
+        word, open_ = word[np.repeat(moved, m)], open_[moved]
+    part = like * np.repeat(share, n, axis=0).astype(np.float32)
+    p = np.maximum(part.sum(1), 1e-30)
+    loss = np.column_stack([segment_sums(np.log(p) - np.log(np.maximum(p - part[:, k], 1e-30)), pointer) for k in range(like.shape[1])])
+    return share, segment_sums(top, pointer) + segment_sums(np.log(p), pointer), loss
 
 
 def infer(logp: np.ndarray, data: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
     """(shares with zeros for languages outside the set, log-likelihood) of each text of a block."""
     start, end, pointer = word_spans(data, offsets)
-    n, languages = np.diff(pointer), logp.shape[1]
-    total = np.zeros((len(data) + 1, languages))
-    np.cumsum(logp[trigrams(data, offsets)], axis=0, out=total[1:], dtype=np.float64)
-    words = (total[end] - total[start]).astype(np.float32)
+    n, languages = np.diff(pointer), len(logp)
+    words, cells, total = np.empty((len(start), languages), np.float32), trigrams(data, offsets), np.zeros(len(data) + 1)
+    for k in range(languages):  # one at a time: memory doesn't follow bytes times languages
+        np.cumsum(logp[k].take(cells), out=total[1:], dtype=np.float64)
+        words[:, k] = total[end] - total[start]
     top = words.max(1) if len(words) else np.zeros(0, np.float32)
     single = np.column_stack([segment_sums(words[:, k], pointer) for k in range(languages)])
     best = single.argmax(1)
@@ -108,24 +121,23 @@ def infer(logp: np.ndarray, data: np.ndarray, offsets: np.ndarray, penalty: floa
     if not len(open_) or languages < 2:
         return share, like
 
-    def of(docs: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(docs: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         k = np.repeat(pointer[docs] - np.concatenate(([0], np.cumsum(n[docs])[:-1])), n[docs]) + np.arange(n[docs].sum())
         return mixture(np.exp(words[k] - top[k, None]), top[k], np.concatenate(([0], np.cumsum(n[docs]))), allowed, iterations)
 
     allowed = np.ones((len(open_), languages), bool)
-    s, l = of(open_, allowed)
+    s, l, loss = of(open_, allowed)
     value = l - fee[open_] * (languages - 1)
     gained = l - like[open_] > fee[open_]
-    open_, s, l, value, allowed = open_[gained], s[gained], l[gained], value[gained], allowed[gained]
+    open_, s, l, value, allowed, loss = open_[gained], s[gained], l[gained], value[gained], allowed[gained], loss[gained]
     best_s, best_l, best_v = s.copy(), l.copy(), value.copy()
     for size in range(languages - 1, 1, -1):
         if not len(open_):
             break
-        # The language whose loss is smallest goes: by its share, since a small share bears little likelihood.
-        weakest = np.where(allowed, s, np.inf).argmin(1)
+        weakest = np.where(allowed, loss, np.inf).argmin(1)
         allowed = allowed.copy()
         allowed[np.arange(len(open_)), weakest] = False
-        s, l = of(open_, allowed)
+        s, l, loss = of(open_, allowed)
         value = l - fee[open_] * (size - 1)
         better = value >= best_v
         best_s[better], best_l[better], best_v[better] = s[better], l[better], value[better]

@@ -7,15 +7,16 @@ Arrow batch. A bucket is small and is worked on alone, wherever its strings came
 
 In a bucket the strings are dealt to shards, and each shard has its own Burrows-Wheeler transform. The transforms are
 merged by refining the interleave: it starts with one shard after another, and each round distributes the shards' next
-symbols stably, which sorts by one more symbol; the round in which two neighbours part is their common prefix. After
-``words`` rounds the blocks that didn't part are the repeated intervals, and no suffix was compared with one of another
-shard. Strings that are the only one of their anchor, and hold no window twice, need no transform: all their windows
+symbols stably, which sorts by one more symbol; the round in which two neighbours part is their common prefix. Rounds end
+after ``words`` of them, or when all have parted. Neighbours with a common prefix of ``words`` are the repeated intervals,
+and no suffix was compared with one of another shard. Strings that are the only one of their anchor, and hold no window twice, need no transform: all their windows
 stand where they do.
 
 In each interval the first place stays (smallest id, then smallest position); the others are reported with it.
 
 Defined results: null and empty texts, texts under ``words`` words and rows without an id have no repeats; rows that
-repeat an id with an equal text are one document, with another text they are two; other columns are ignored by ``find``
+repeat an id with an equal text are one document, with another text they are two; ids that aren't integers rank by a
+64-bit hash; a very long text repeats itself like any other; other columns, whatever they are called, are ignored by ``find``
 and kept by ``deduplicate``; a text of which all is cut stays as an empty text; an empty table has no repeats.
 """
 
@@ -29,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenlake.llm.ids import integral, key_of, named
 from screenlake.llm.textcols import blocks, range_hash, ranges, release, slices, sliding_min, word_spans
 
 WORDS, GRAM, SHARDS = 50, 4, 4
@@ -116,8 +118,8 @@ def shard_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     return order, text[order - 1]
 
 
-def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(interleave, block, common prefix with the one before) of all suffixes, sorted by ``depth`` symbols.
+def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(interleave, common prefix with the one before, at most ``depth``) of all suffixes, sorted by ``depth`` symbols.
 
     ``interleave`` has the shard of each; those of one shard stand in the shard's own order."""
     n = sum(map(len, transforms))
@@ -135,8 +137,10 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
         shard = shard[order]
         part = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
         common[1:][part & (common[1:] > h)] = h
+        if part.all():
+            break
         block = np.concatenate(([0], np.cumsum(part, dtype=np.int32))).astype(np.int32)
-    return shard, block, common
+    return shard, common
 
 
 def equal_windows(ids: np.ndarray, pointer: np.ndarray, words: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +174,8 @@ def equal_windows(ids: np.ndarray, pointer: np.ndarray, words: int, shards: int
         rest[to] = np.repeat(end[keep][mine], size[mine]) - place[to]
         order, transform = shard_transform(text, words)
         orders.append(order), transforms.append(transform), places.append(place[order]), left.append(rest[order])
-    shard, block, _ = merge_transforms(transforms, words)
+    shard, common = merge_transforms(transforms, words)
+    block = np.cumsum(common < words)
     place, rest = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
     for i in range(len(orders)):
         place[shard == i], rest[shard == i] = places[i], left[i]
@@ -286,7 +291,7 @@ def _runs(docs: DataFrame, words: int, shards: int) -> DataFrame:
     """(doc_id, version, start, n_words, first_doc, first_start): the longest runs of windows with one first place each."""
     if words < GRAM:
         raise ValueError(f"a repeat has at least {GRAM} words")
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    rows = docs.select(key_of(docs, "doc_id").alias("doc_id"), F.xxhash64("text").alias("version"), named("text").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     cut = rows.mapInArrow(_cut_strings(words), FORM)
     met = cut.repartition("anchor").sortWithinPartitions("anchor", "string").mapInArrow(_merge(words, shards), FOUND)
     one = ["doc_id", "version", "first_doc", "first_version", "shift"]
@@ -299,7 +304,13 @@ def _runs(docs: DataFrame, words: int, shards: int) -> DataFrame:
 
 def find(docs: DataFrame, *, words: int = WORDS, shards: int = SHARDS) -> DataFrame:
     """(doc_id, start, n_words, first_doc, first_start): every passage that stands at ``first_start`` of ``first_doc`` before."""
-    return _runs(docs, words, shards).select("doc_id", "start", "n_words", "first_doc", "first_start")
+    got = _runs(docs, words, shards).select("doc_id", "start", "n_words", "first_doc", "first_start")
+    if integral(docs, "doc_id"):
+        return got
+    names = docs.where("doc_id IS NOT NULL").select(key_of(docs, "doc_id").alias("key"), named("doc_id").alias("name")).dropDuplicates(["key"])
+    for c in ("doc_id", "first_doc"):
+        got = got.join(names.withColumnRenamed("key", c), c).drop(c).withColumnRenamed("name", c)
+    return got.select("doc_id", "start", "n_words", "first_doc", "first_start")
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -326,8 +337,8 @@ def deduplicate(docs: DataFrame, *, words: int = WORDS, shards: int = SHARDS) ->
     spans = spans.select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), "__spans")
     names = [f"__{i}" for i in range(len(docs.columns))]  # whatever the columns are called
     where, key = docs.columns.index("text"), docs.columns.index("doc_id")
-    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)))
-    both = rows.join(spans, (F.col(names[key]).cast("long") == F.col("__doc")) & (F.xxhash64(names[where]) == F.col("__version")), "left").select(*names, "__spans")
+    rows = docs.select(*(named(c).alias(n) for c, n in zip(docs.columns, names)))
+    both = rows.join(spans, (key_of(rows, names[key]) == F.col("__doc")) & (F.xxhash64(names[where]) == F.col("__version")), "left").select(*names, "__spans")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,9 @@ what comes back to each page is one row for its host.
 Defined results: a null URL, or one without a host, is kept, with nulls for all else; an outcome other than 0 and 1, or
 of an unknown page, doesn't count; a page with several outcome rows is good if all of them say so; rows that repeat a
 page each count and each get a row; addresses in digits are their own domain under the suffix ``''``; without any
-outcomes all rates are one half and everything is kept; other columns are ignored by ``score`` and kept by ``keep``.
+outcomes all rates are one half and everything is kept; ids are of any type, and a page without one has no outcome; a very
+long URL is one like any other; other columns, whatever they are called, are ignored by ``score`` and kept by ``keep``; an
+empty table gives no rows. Public suffixes are those of ``rules``, for which a newer or fuller list can be given.
 """
 
 from __future__ import annotations
@@ -22,12 +24,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenlake.llm.ids import named
 from screenlake.llm.storage import staged
 
 LEAST, Z = 0.75, 1.645
 RHO_MIN, RHO_MAX = 0.001, 0.9
-#: Public suffixes of two labels; every other suffix is the last label.
-SUFFIXES = "co.uk org.uk ac.uk gov.uk me.uk com.au net.au org.au edu.au co.nz org.nz co.jp or.jp ne.jp ac.jp co.kr or.kr com.br org.br com.mx com.ar com.tr com.cn net.cn org.cn com.tw com.hk com.sg co.in org.in co.za org.za co.il com.ua com.pl".split()
+#: Public suffixes in the notation of the public list: ``*`` stands for any one label, ``!`` excepts a domain. A suffix that no
+#: rule names is the last label.
+RULES = """
+co.uk org.uk ac.uk gov.uk me.uk ltd.uk plc.uk net.uk sch.uk nhs.uk police.uk com.au net.au org.au edu.au gov.au asn.au id.au co.nz org.nz net.nz ac.nz
+govt.nz school.nz geek.nz co.jp or.jp ne.jp ac.jp ad.jp ed.jp go.jp gr.jp lg.jp co.kr or.kr ne.kr re.kr pe.kr go.kr ac.kr com.br org.br net.br gov.br
+edu.br com.mx org.mx net.mx gob.mx edu.mx com.ar org.ar net.ar gob.ar edu.ar com.tr org.tr net.tr gov.tr edu.tr com.cn net.cn org.cn gov.cn edu.cn ac.cn
+com.tw org.tw net.tw gov.tw edu.tw idv.tw com.hk org.hk net.hk gov.hk edu.hk idv.hk com.sg org.sg net.sg gov.sg edu.sg co.in org.in net.in gov.in ac.in
+edu.in res.in gen.in firm.in ind.in nic.in co.za org.za net.za gov.za ac.za web.za co.il org.il net.il gov.il ac.il muni.il com.ua org.ua net.ua gov.ua
+edu.ua kiev.ua com.pl org.pl net.pl gov.pl edu.pl info.pl co.th or.th in.th go.th ac.th net.th com.my org.my net.my gov.my edu.my com.ph org.ph net.ph
+gov.ph edu.ph com.vn org.vn net.vn gov.vn edu.vn co.id or.id go.id ac.id web.id sch.id com.pk org.pk net.pk gov.pk edu.pk com.bd org.bd net.bd com.sa
+org.sa gov.sa edu.sa co.ae org.ae gov.ae ac.ae com.eg org.eg gov.eg edu.eg com.ng org.ng gov.ng edu.ng co.ke or.ke go.ke ac.ke com.gh org.gh co.tz co.ug
+com.co org.co net.co gov.co edu.co com.pe org.pe gob.pe edu.pe com.ve org.ve gob.ve com.ec org.ec gob.ec com.uy org.uy gub.uy com.py com.bo com.gt com.do
+co.cr or.cr com.pa com.cu com.es org.es nom.es gob.es edu.es com.pt org.pt gov.pt edu.pt com.gr org.gr gov.gr edu.gr com.ro org.ro co.at or.at ac.at gv.at
+co.hu org.hu com.ru org.ru net.ru msk.ru spb.ru com.by com.kz org.kz com.ge co.rs org.rs ac.rs gov.rs com.hr com.mt org.mt com.cy ac.be gouv.fr asso.fr
+com.fr tm.fr gov.it edu.it co.it github.io gitlab.io blogspot.com herokuapp.com netlify.app vercel.app pages.dev web.app firebaseapp.com appspot.com
+wordpress.com azurewebsites.net cloudfront.net s3.amazonaws.com
+*.ck !www.ck *.er *.fk *.jm *.kh *.mm *.np *.pg *.bn *.kawasaki.jp !city.kawasaki.jp *.kobe.jp !city.kobe.jp *.nagoya.jp !city.nagoya.jp *.sapporo.jp
+!city.sapporo.jp *.sendai.jp !city.sendai.jp *.yokohama.jp !city.yokohama.jp *.kitakyushu.jp !city.kitakyushu.jp *.compute.amazonaws.com
+"""
 _HOST = r"(?i)^\s*(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^:/?#\s]*)"
 _ADDRESS = r"^(\[.*|[0-9]+(\.[0-9]+){3})$"
 
@@ -38,15 +58,30 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(host.rlike(_ADDRESS), "").when(two.isin(SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def split_rules(rules: str) -> tuple[list[str], list[str], list[str]]:
+    """(suffixes, what a wildcard stands before, excepted domains) of rules; ``//`` begins a comment."""
+    words = [w.lower() for line in rules.splitlines() for w in line.split("//")[0].split()]
+    return [w for w in words if w[0] not in "*!"], [w[2:] for w in words if w[:2] == "*."], [w[1:] for w in words if w[0] == "!"]
+
+
+def suffix_of(host: Column, rules: str = RULES) -> Column:
+    """The longest public suffix that a rule names, the last label if none does; an exception ends one label after its first."""
+    plain, wild, but = split_rules(rules)
+    depth = max(map(lambda w: w.count(".") + 2, [*plain, *wild, *but]), default=1)
+    last = lambda n: F.substring_index(host, ".", -n)
+    labels = F.size(F.split(host, r"\."))
+    out = F.when(host.rlike(_ADDRESS), "")
+    for n in range(depth, 1, -1):
+        out = out.when((labels >= n) & last(n).isin(but), last(n - 1))
+    for n in range(depth, 1, -1):
+        out = out.when((labels >= n) & (last(n).isin(plain) | last(n - 1).isin(wild)), last(n))
+    return out.otherwise(last(1))
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: one label more than the suffix."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(host.rlike(_ADDRESS), host).when(two.isin(SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def domain_of(host: Column, suffix: Column) -> Column:
+    """The registered domain: one label more than the suffix; a host that is a suffix is its own."""
+    parts = F.size(F.split(suffix, r"\."))
+    return F.when(host.rlike(_ADDRESS), host).otherwise(F.array_join(F.slice(F.split(host, r"\."), F.greatest(F.lit(1), F.size(F.split(host, r"\.")) - parts), parts + 1), "."))
 
 
 def _level(units: DataFrame, name: str, prior: str) -> DataFrame:
@@ -61,12 +96,12 @@ def _level(units: DataFrame, name: str, prior: str) -> DataFrame:
     return units.withColumn(f"mean_{name}", a / (a + b)).withColumn(f"var_{name}", a * b / ((a + b) * (a + b) * (a + b + 1))).drop("r")
 
 
-def hosts(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def hosts(pages: DataFrame, outcomes: DataFrame, rules: str = RULES) -> DataFrame:
     """(host, domain, suffix, n, good, mean, deviation) of every host of ``pages``. ``outcomes``: (page_id, good)."""
     told = outcomes.where("page_id IS NOT NULL AND good IN (0, 1)").groupBy("page_id").agg(F.min(F.col("good").cast("int")).alias("good"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host")).where("host IS NOT NULL")
     told = rows.join(told, "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
-    own = rows.select("host").distinct().join(told, "host", "left").select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.coalesce("n", F.lit(0)).cast("double").alias("n"), F.coalesce("good", F.lit(0)).cast("double").alias("good"))
+    own = rows.select("host").distinct().withColumn("suffix", suffix_of(F.col("host"), rules)).join(told, "host", "left").select("host", domain_of(F.col("host"), F.col("suffix")).alias("domain"), "suffix", F.coalesce("n", F.lit(0)).cast("double").alias("n"), F.coalesce("good", F.lit(0)).cast("double").alias("good"))
     own = staged(own, "hosts")  # the levels above read it again and again
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
     domains = own.groupBy("domain", "suffix").agg(*sums)
@@ -78,17 +113,20 @@ def hosts(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     return got.select("host", "domain", "suffix", F.col("n").cast("long").alias("n"), F.col("good").cast("long").alias("good"), F.col("mean_host").alias("mean"), F.sqrt("var_host").alias("deviation"))
 
 
-def score(pages: DataFrame, outcomes: DataFrame, *, least: float = LEAST, z: float = Z) -> DataFrame:
+def score(pages: DataFrame, outcomes: DataFrame, *, least: float = LEAST, z: float = Z, rules: str = RULES) -> DataFrame:
     """(page_id, host, domain, suffix, n, good, mean, bound, keep) for every row of ``pages``."""
     bound = F.least(F.lit(1.0), F.round(F.col("mean") + z * F.col("deviation"), 6))
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host")).join(hosts(pages, outcomes), "host", "left")
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host")).join(hosts(pages, outcomes, rules), "host", "left")
     return rows.select("page_id", "host", "domain", "suffix", "n", "good", F.round("mean", 6).alias("mean"), bound.alias("bound"), F.coalesce(bound >= least, F.lit(True)).alias("keep"))
 
 
-def keep(pages: DataFrame, outcomes: DataFrame, *, least: float = LEAST, z: float = Z) -> DataFrame:
+def keep(pages: DataFrame, outcomes: DataFrame, *, least: float = LEAST, z: float = Z, rules: str = RULES) -> DataFrame:
     """``pages`` without those of rejected hosts, all columns as they were."""
-    bad = hosts(pages, outcomes).where(F.round(F.col("mean") + z * F.col("deviation"), 6) < least).select(F.col("host").alias("__host"))
-    return pages.join(bad, host_of(F.col("url")) == F.col("__host"), "left_anti")
+    names = [f"__{i}" for i in range(len(pages.columns))]  # whatever the columns are called
+    bad = hosts(pages, outcomes, rules).where(F.round(F.col("mean") + z * F.col("deviation"), 6) < least).select(F.col("host").alias("__host"))
+    rows = pages.select(*(named(c).alias(n) for c, n in zip(pages.columns, names)))
+    kept = rows.join(bad, host_of(F.col(names[pages.columns.index("url")])) == F.col("__host"), "left_anti")
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, pages.columns)))
 
 
 ORACLE_SQL = rf"""
@@ -96,13 +134,15 @@ WITH told AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE d
 named AS (SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^:/?#\s]*)', 1)), '\.+$', ''), '') AS host FROM pages),
 hosts AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS good, string_split(host, '.') AS parts
           FROM named LEFT JOIN told USING (page_id) WHERE host IS NOT NULL GROUP BY host),
+rules AS (SELECT unnest(regexp_split_to_array(trim('{" ".join(RULES.split())}'), ' +')) AS rule),
+cand AS (SELECT host, parts, n, unnest(range(1, len(parts) + 1)) AS k FROM hosts),
+hit AS (SELECT host, max(CASE WHEN rule[1] = '!' THEN 1000 + k - 1 ELSE k END) AS best
+        FROM cand JOIN rules ON rule = array_to_string(parts[-k:], '.') OR rule = '!' || array_to_string(parts[-k:], '.')
+                             OR (k > 1 AND rule = '*.' || array_to_string(parts[-(k - 1):], '.')) GROUP BY host),
+sized AS (SELECT hosts.*, CASE WHEN best >= 1000 THEN best - 1000 ELSE coalesce(best, 1) END AS k FROM hosts LEFT JOIN hit USING (host)),
 own AS (SELECT host, n, good,
-          CASE WHEN regexp_matches(host, '{_ADDRESS}') THEN host
-               WHEN array_to_string(parts[-2:], '.') IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) THEN array_to_string(parts[-3:], '.')
-               ELSE array_to_string(parts[-2:], '.') END AS domain,
-          CASE WHEN regexp_matches(host, '{_ADDRESS}') THEN ''
-               WHEN array_to_string(parts[-2:], '.') IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) THEN array_to_string(parts[-2:], '.')
-               ELSE parts[-1] END AS suffix FROM hosts),
+          CASE WHEN regexp_matches(host, '{_ADDRESS}') THEN host ELSE array_to_string(parts[-(k + 1):], '.') END AS domain,
+          CASE WHEN regexp_matches(host, '{_ADDRESS}') THEN '' ELSE array_to_string(parts[-k:], '.') END AS suffix FROM sized),
 d0 AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM own GROUP BY ALL),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d0 GROUP BY ALL),
 s1 AS (SELECT *, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM s0) AS p FROM s0),

@@ -64,6 +64,37 @@ def test_mixture_never_falls():
     assert all(b >= a - 1e-4 for a, b in zip(values, values[1:]))
 
 
+def test_language_sets_are_those_of_an_exhaustive_search():
+    """All sets of four languages, each fitted by slow EM: the chosen one has the highest penalised likelihood."""
+    from itertools import combinations
+
+    r = np.random.default_rng(6)
+    logp = langmix.model(r.gamma(0.2, 20, (4, langmix.CELLS)))
+    bag = [["".join(chr(97 + c) for c in r.integers(0, 26, 5)) for _ in range(40)] for _ in range(4)]
+    table = np.zeros((4, langmix.CELLS))
+    for k in range(4):
+        for b in blocks(pa.array([" ".join(bag[k]) + " "])):
+            np.add.at(table[k], langmix.trigrams(b.data, b.offsets), 5)
+    logp = langmix.model(table)
+    texts = [" ".join(w for k, n in enumerate(mix) for w in r.choice(bag[k], n)) for mix in ((20, 0, 0, 0), (12, 9, 0, 0), (5, 0, 30, 0), (9, 9, 9, 0), (6, 7, 8, 9), (25, 1, 0, 0), (2, 0, 0, 2))]
+    for b in blocks(pa.array(texts)):
+        share, like = langmix.infer(logp, b.data, b.offsets)
+        start, end, pointer = word_spans(b.data, b.offsets)
+        cells = langmix.trigrams(b.data, b.offsets)
+        for i in range(len(texts)):
+            w = np.array([[logp[k][cells[start[j] : end[j]]].sum() for k in range(4)] for j in range(pointer[i], pointer[i + 1])], float)
+            best = (-np.inf, None)
+            for size in range(1, 5):
+                for own in combinations(range(4), size):
+                    p, s = np.exp(w[:, own] - w.max(1)[:, None]), np.full(size, 1 / size)
+                    for _ in range(500):
+                        s = (p * s / np.maximum((p * s).sum(1, keepdims=True), 1e-300)).mean(0)
+                    value = np.log(np.maximum((p * s).sum(1), 1e-300)).sum() + w.max(1).sum() - langmix.PENALTY * np.log(max(2, len(w))) * (size - 1)
+                    best = max(best, (value, own))
+            assert set(np.flatnonzero(share[i])) == set(best[1])
+            assert abs(like[i] - langmix.PENALTY * np.log(max(2, len(w))) * (len(best[1]) - 1) - best[0]) < 0.05
+
+
 # Closed syncmers
 
 
@@ -142,6 +173,23 @@ def test_bpe_by_halves_is_that_of_the_whole(coder, text):
     assert coder.decode(t) == text.encode()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "ab", "the", "é", "中文", "1", "12", "-", "=", "'s", " ", "\n", "\t ", "x y"]), st.integers(1, 900)), min_size=1, max_size=4), st.sampled_from([40, 600]))
+def test_long_runs_are_joined_inside(parts, leaf):
+    own = bpe.coder(os.path.join(bpe.VOCABULARY_DIR, bpe.VOCABULARY), leaf)
+    text = "".join(piece * n for piece, n in parts)
+    assert own.encode(text).tolist() == own.encoding.encode_ordinary(text)
+
+
+def test_random_runs_take_windows_and_not_whole_sides():
+    own = bpe.Coder(os.path.join(bpe.VOCABULARY_DIR, bpe.VOCABULARY))
+    text = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz", k=60_000))
+    want = own.encoding.encode_ordinary(text)
+    sizes, real = [], own.encoding.encode_ordinary
+    own.encoding.encode_ordinary = lambda t: sizes.append(len(t)) or real(t)
+    assert own.encode(text).tolist() == want and max(sizes) <= 2 * bpe.LEAF
+
+
 def test_bpe_of_awkward_tables(spark):
     got = {r.doc_id: r for r in bpe.encode(awkward(spark)).collect()}
     assert got[3].tokens is None and got[3].round_trip is None and got[4].tokens == [] and got[4].round_trip
@@ -287,6 +335,13 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), labels).count() == 0 and toxicity.reject(empty(spark), labels).count() == 0
 
 
+def test_disguised_words_are_read():
+    plain, hidden = "vilefoe", ["v1lef0e", "vile-foe", "v.i.l.e.f.o.e", "v_i_l_e_foe", "vile*foe", "v!lefoe"]
+    for b in blocks(pa.array([plain, *hidden, "house-boat"])):
+        u = toxicity.units(b.data, b.offsets)
+        assert all(u.plain[0] in (u.masked[i], u.bare[i]) for i in range(1, 7)) and u.plain[0] not in (u.masked[7], u.bare[7]) and u.bare[0] == 0
+
+
 def test_isotonic_is_monotone_and_trees_learn():
     r = np.random.default_rng(5)
     x = r.normal(size=(600, 4)).astype(np.float32)
