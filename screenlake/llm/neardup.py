@@ -52,7 +52,7 @@ SKETCH = 256
 PARTS = 4
 #: Partitions so far apart are compared by containment.
 GAPS = 4
-ASKS = 128
+ASKS = 64
 #: Of the asked shingles that candidates must hold, how many are looked for at the least.
 HELD = 3
 #: Shingles of a bucket, and of what a task packs at once.
