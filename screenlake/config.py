@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 SOURCES = ("ofac_sdn", "ofac_consolidated", "eu", "uk", "un")
 ENTITY_TYPES = ("person", "organization", "vessel", "aircraft", "unknown")
 LABELS = {"ofac_sdn": "OFAC SDN list", "ofac_consolidated": "OFAC consolidated list", "eu": "EU consolidated list", "uk": "UK sanctions list", "un": "UN Security Council list"}
+REGISTRY_LABEL = "Legal entity identifiers"
+LICENCES = {"ofac_sdn": "Public domain, work of the US government", "ofac_consolidated": "Public domain, work of the US government", "eu": "Free reuse with a mention of the source", "uk": "Open Government Licence v3.0, with attribution", "un": "Free reuse", "lei": "CC0 1.0"}
 CAVEAT = "Candidates for review, not a determination: compare identifiers with the published entry before acting."
 
 
@@ -30,6 +32,11 @@ class Settings:
         return max(4 * self.max_fuzzy, 200)
 
 
+def sources_table(urls: dict[str, str]) -> list[dict[str, str | None]]:
+    """(source, label, url, licence) of the five lists and the entity registry. ``urls``: where each is fetched from."""
+    return [{"source": s, "label": label, "url": urls.get(s), "licence": LICENCES[s]} for s, label in [*LABELS.items(), ("lei", REGISTRY_LABEL)]]
+
+
 class InvalidRequest(ValueError):
     """A parameter is out of its bounds."""
 

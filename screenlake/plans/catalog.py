@@ -298,11 +298,12 @@ def get_entity_cross_screen(spark, sf_dir):
 # Ownership
 
 
-_ROOT = "root AS (SELECT * FROM (VALUES " + ", ".join(f"({cw.sql_lei(str(k))})" for k in (24, 97, 89)) + ") AS t(root))"
+_ROOT = f"root AS (SELECT DISTINCT {cw.sql_lei('c_custkey')} AS root FROM customer WHERE c_custkey IS NOT NULL)"
 
 
-def _roots(spark):
-    return spark.createDataFrame([(24,), (97,), (89,)], "k long").select(cw.lei(F.col("k")).alias("root"))
+def _roots(spark, sf_dir):
+    """Every customer."""
+    return cw.table(spark, sf_dir, "customer").where("c_custkey IS NOT NULL").select(cw.lei(F.col("c_custkey")).alias("root")).distinct()
 
 
 def sql_trace(direction: str, depth: int) -> str:
@@ -314,20 +315,22 @@ def sql_trace(direction: str, depth: int) -> str:
 step AS ({steps}),
 walk AS (SELECT root, root AS lei, 0 AS depth FROM root UNION SELECT w.root, s.neighbour, w.depth + 1 FROM walk w JOIN step s USING (lei) WHERE w.depth < {depth}),
 least_ AS (SELECT root, lei, min(depth) AS depth FROM walk GROUP BY ALL),
-node AS (SELECT n.root, n.lei, n.depth, CASE WHEN n.depth = 0 THEN 'root' ELSE (SELECT CASE arg_min(s.turn, [p.lei, s.turn::VARCHAR]) WHEN 0 THEN 'parent' ELSE 'child' END FROM least_ p JOIN step s ON s.lei = p.lei WHERE p.root = n.root AND p.depth = n.depth - 1 AND s.neighbour = n.lei) END AS role FROM least_ n),
+entered AS (SELECT n.root, n.lei, arg_min(s.turn, [p.lei, s.turn::VARCHAR]) AS turn FROM least_ n JOIN step s ON s.neighbour = n.lei JOIN least_ p ON p.root = n.root AND p.lei = s.lei AND p.depth = n.depth - 1 GROUP BY ALL),
+node AS (SELECT n.root, n.lei, n.depth, CASE WHEN n.depth = 0 THEN 'root' WHEN e.turn = 0 THEN 'parent' ELSE 'child' END AS role FROM least_ n LEFT JOIN entered e ON e.root = n.root AND e.lei = n.lei),
 held AS (SELECT DISTINCT n.root, s.child_lei, s.parent_lei, s.relationship_type FROM least_ n JOIN step s USING (lei) WHERE n.depth < {depth}),
-cut AS (SELECT r.root, EXISTS (SELECT 1 FROM least_ n JOIN step s USING (lei) WHERE n.root = r.root AND n.depth = {depth} AND NOT EXISTS (SELECT 1 FROM held h WHERE h.root = r.root AND h.child_lei = s.child_lei AND h.parent_lei = s.parent_lei AND h.relationship_type = s.relationship_type)) AS truncated FROM root r)"""
+beyond AS (SELECT DISTINCT n.root FROM least_ n JOIN step s USING (lei) ANTI JOIN held h ON h.root = n.root AND h.child_lei = s.child_lei AND h.parent_lei = s.parent_lei AND h.relationship_type = s.relationship_type WHERE n.depth = {depth}),
+cut AS (SELECT r.root, b.root IS NOT NULL AS truncated FROM root r LEFT JOIN beyond b ON b.root = r.root)"""
 
 
 @query(f"WITH RECURSIVE {_ROOT}, {cw.EDGE_CTE},{sql_trace('both', 1)} SELECT r.root AS lei, neighbour, CASE turn WHEN 0 THEN 'parent' ELSE 'child' END AS role, relationship_type FROM root r JOIN step s ON s.lei = r.root")
 def relationships_both(spark, sf_dir):
-    leis = _roots(spark).withColumn("lei", F.col("root"))
+    leis = _roots(spark, sf_dir).withColumn("lei", F.col("root"))
     return ownership.relationships(cw.relationships(spark, sf_dir), leis, "both").select("lei", "neighbour", "role", "relationship_type")
 
 
 def _node_query(name: str, direction: str, depth: int) -> None:
     def run(spark, sf_dir):
-        return ownership.trace(_roots(spark), cw.relationships(spark, sf_dir), direction, depth)[0]
+        return ownership.trace(_roots(spark, sf_dir), cw.relationships(spark, sf_dir), direction, depth)[0]
 
     run.__name__ = name
     query(f"WITH RECURSIVE {_ROOT}, {cw.EDGE_CTE},{sql_trace(direction, depth)} SELECT root, lei, depth::INTEGER AS depth, role FROM node")(run)
@@ -340,17 +343,17 @@ _node_query("trace_both", "both", 3)
 
 @query(f"WITH RECURSIVE {_ROOT}, {cw.EDGE_CTE},{sql_trace('both', 2)} SELECT root, child_lei, parent_lei, relationship_type FROM held")
 def trace_edges(spark, sf_dir):
-    return ownership.trace(_roots(spark), cw.relationships(spark, sf_dir), "both", 2)[1].select("root", *ownership.EDGE)
+    return ownership.trace(_roots(spark, sf_dir), cw.relationships(spark, sf_dir), "both", 2)[1].select("root", *ownership.EDGE)
 
 
 @query(f"WITH RECURSIVE {_ROOT}, {cw.EDGE_CTE},{sql_trace('parents', 2)} SELECT root, truncated FROM cut")
 def trace_truncated(spark, sf_dir):
-    return ownership.trace(_roots(spark), cw.relationships(spark, sf_dir), "parents", 2)[2]
+    return ownership.trace(_roots(spark, sf_dir), cw.relationships(spark, sf_dir), "parents", 2)[2]
 
 
 @query(f"WITH RECURSIVE {_ROOT}, {cw.EDGE_CTE}, {cw.ENTITY_CTE},{sql_trace('parents', 5)} SELECT root, lei FROM node WHERE lei NOT IN (SELECT lei FROM entity)")
 def missing_entities(spark, sf_dir):
-    nodes = ownership.trace(_roots(spark), cw.relationships(spark, sf_dir), "parents", 5)[0]
+    nodes = ownership.trace(_roots(spark, sf_dir), cw.relationships(spark, sf_dir), "parents", 5)[0]
     return ownership.hydrated(nodes, cw.entities(spark, sf_dir)).where("missing").select("root", "lei")
 
 
@@ -359,56 +362,7 @@ def missing_entities(spark, sf_dir):
 )
 def screen_graph_nodes(spark, sf_dir):
     e = cw.entities(spark, sf_dir).withColumn("legal_name", F.col("other_names")[0])
-    nodes = ownership.hydrated(ownership.trace(_roots(spark), cw.relationships(spark, sf_dir), "parents", 3)[0], e)
-    return ownership.screened(nodes, cw.names(spark, sf_dir))[0].select("root", "lei", "legal_name", "missing", "matches", "has_more")
-
-
-# The same from every customer. No SQL: its recursion is one walk for all roots; tests hold them against brute force.
-
-
-def _every_root(spark, sf_dir):
-    return cw.table(spark, sf_dir, "customer").where("c_custkey IS NOT NULL").select(cw.lei(F.col("c_custkey")).alias("root")).distinct()
-
-
-@query()
-def bulk_relationships_both(spark, sf_dir):
-    leis = _every_root(spark, sf_dir).withColumn("lei", F.col("root"))
-    return ownership.relationships(cw.relationships(spark, sf_dir), leis, "both").select("lei", "neighbour", "role", "relationship_type")
-
-
-def _bulk_node_query(name: str, direction: str, depth: int) -> None:
-    def run(spark, sf_dir):
-        return ownership.trace(_every_root(spark, sf_dir), cw.relationships(spark, sf_dir), direction, depth)[0]
-
-    run.__name__ = name
-    query()(run)
-
-
-_bulk_node_query("bulk_trace_parents", "parents", 5)
-_bulk_node_query("bulk_trace_children", "children", 2)
-_bulk_node_query("bulk_trace_both", "both", 3)
-
-
-@query()
-def bulk_trace_edges(spark, sf_dir):
-    return ownership.trace(_every_root(spark, sf_dir), cw.relationships(spark, sf_dir), "both", 2)[1].select("root", *ownership.EDGE)
-
-
-@query()
-def bulk_trace_truncated(spark, sf_dir):
-    return ownership.trace(_every_root(spark, sf_dir), cw.relationships(spark, sf_dir), "parents", 2)[2]
-
-
-@query()
-def bulk_missing_entities(spark, sf_dir):
-    nodes = ownership.trace(_every_root(spark, sf_dir), cw.relationships(spark, sf_dir), "parents", 5)[0]
-    return ownership.hydrated(nodes, cw.entities(spark, sf_dir)).where("missing").select("root", "lei")
-
-
-@query()
-def bulk_screen_graph_nodes(spark, sf_dir):
-    e = cw.entities(spark, sf_dir).withColumn("legal_name", F.col("other_names")[0])
-    nodes = ownership.hydrated(ownership.trace(_every_root(spark, sf_dir), cw.relationships(spark, sf_dir), "parents", 3)[0], e)
+    nodes = ownership.hydrated(ownership.trace(_roots(spark, sf_dir), cw.relationships(spark, sf_dir), "parents", 3)[0], e)
     return ownership.screened(nodes, cw.names(spark, sf_dir))[0].select("root", "lei", "legal_name", "missing", "matches", "has_more")
 
 

@@ -21,8 +21,8 @@ def _ready(store: Store, mirror: str, now: str, total: int) -> None:
 
 
 def _designations(store: Store, rows: DataFrame, now: str) -> None:
-    """Merges by id, rebuilds the name index, and marks the lists ready."""
-    store.write("designation", merge.upsert(store.read("designation", DESIGNATION), rows, ["id"], ["source_entry_id"]))
+    """Merges by id (of several in a feed the last), rebuilds the name index, and marks the lists ready."""
+    store.write("designation", merge.upsert(store.read("designation", DESIGNATION), rows, ["id"], ["__turn"] if "__turn" in rows.columns else ["source_entry_id"]))
     built = store.read("designation", DESIGNATION)
     store.write("name", name_index(built))
     _ready(store, "sanctions", now, built.count())
@@ -30,7 +30,7 @@ def _designations(store: Store, rows: DataFrame, now: str) -> None:
 
 def build(store: Store, readers: Mapping[str, lists.Reader], now: str, *, level1: lists.Reader | None = None, level2: lists.Reader | None = None) -> DataFrame:
     """Everything from full feeds. Without registry readers only the lists. Returns counts by source and outcome."""
-    rows, counts = lists.harvest(dict(readers))
+    rows, counts = lists.harvest(dict(readers), "__turn")
     _designations(store, rows, now)
     if level1 is not None:
         found, tally = lei.entities(level1)
@@ -45,7 +45,7 @@ def build(store: Store, readers: Mapping[str, lists.Reader], now: str, *, level1
 
 def refresh(store: Store, readers: Mapping[str, lists.Reader], now: str, *, level1: lists.Reader | None = None, level2: lists.Reader | None = None) -> DataFrame:
     """Lists from full feeds, the registry from deltas: entities by key, edges child by child. A delta alone doesn't make it ready."""
-    rows, counts = lists.harvest(dict(readers))
+    rows, counts = lists.harvest(dict(readers), "__turn")
     _designations(store, rows, now)
     if level1 is not None:
         found, tally = lei.entities(level1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -19,6 +20,10 @@ OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "ignoreNamespace": "tru
 GUARD = r"(?is)^\s*<(!doctype\s+html|html[\s>])"
 
 
+#: Bytes of a download that tell what it is.
+HEAD = 1024
+
+
 class WrongContent(ValueError):
     """A download is empty, or a web page in place of a feed."""
 
@@ -34,16 +39,67 @@ def parse_records(texts: DataFrame, column: str, tags: Sequence[str], schema: st
     return one.select(F.from_xml("x", schema, {k: v for k, v in OPTIONS.items() if k != "charset"}).alias("r")).select("r.*")
 
 
+def is_wrong(head: Column) -> Column:
+    """Whether the beginning of a download is blank, or that of a web page."""
+    return F.coalesce((F.trim(head) == "") | head.rlike(GUARD), F.lit(True))
+
+
 def guarded(spark: SparkSession, path: str) -> None:
-    """Raises WrongContent for an empty file or a web page. Reads its first bytes only."""
-    lines = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    head = lines[0][0][:64] if lines else ""
-    if not head or spark.createDataFrame([(head,)], "h string").where(F.col("h").rlike(GUARD)).count():
+    """Raises WrongContent for an empty file or a web page, by its first bytes: no job, whatever the file's size."""
+    raw = b""
+    for at in _files(spark, path):
+        stream = _system(spark, at).open(at)
+        try:
+            raw = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD)))
+        finally:
+            stream.close()
+        if raw.strip():
+            break
+    head = raw.decode("utf-8", "replace").lstrip("\ufeff")
+    if not head.strip() or re.match(GUARD, head):
         raise WrongContent(path)
 
 
+def _system(spark: SparkSession, path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _files(spark: SparkSession, pattern: str) -> list:
+    """The files that a path, folder or pattern names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = _system(spark, p)
+    out = []
+    for found in fs.globStatus(p) or []:
+        out += [s.getPath() for s in fs.listStatus(found.getPath()) if s.isFile()] if found.isDirectory() else [found.getPath()]
+    return out
+
+
+def inflated(spark: SparkSession, path: str, to: str) -> str:
+    """The first entry of a ZIP, or what gzip holds, as a plain file ``to``; the path itself if it is neither.
+
+    An archive is one stream; it is copied by buffers of 64 kB, so neither its size nor that of what it holds matters. The
+    plain file can then be split among tasks."""
+    jvm = spark._jvm
+    p, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    stream = _system(spark, p).open(p)
+    magic = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, 4)))
+    if magic[:2] not in (b"PK", b"\x1f\x8b"):
+        stream.close()
+        return path
+    stream.seek(0)
+    if magic[:2] == b"PK":
+        source = jvm.java.util.zip.ZipInputStream(stream)
+        if source.getNextEntry() is None:
+            stream.close()
+            raise WrongContent(path)
+    else:
+        source = jvm.java.util.zip.GZIPInputStream(stream)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, _system(spark, target).create(target, True), 1 << 16, True)
+    return to
+
+
 def unzipped(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of archives: the first entry of a ZIP, or what gzip holds, or the bytes as they are."""
+    """(path, text) of small archives, many at once: the first entry of a ZIP, or what gzip holds, or the bytes as they are. For large ones: ``inflated``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip

@@ -73,7 +73,7 @@ def ofac_deferred(read: Reader, source: str) -> DataFrame:
     e = read("SanctionsEntry", ENTRY)
     said = kept(F.col("SanctionsMeasure"), lambda m: text(m["Comment"]))
     day = F.col("EntryEvent.Date")
-    rows = e.select(text(F.col("_ProfileID")).alias("source_entry_id"), F.when(F.size(said) > 0, F.array_join(said, ", ")).alias("program"), composed_date(day["Year"], day["Month"], day["Day"]).alias("designation_date"), F.struct(F.col("_ID").cast("long"), "_ID").alias("turn"))
+    rows = e.select(text(F.col("_ProfileID")).alias("source_entry_id"), F.when(F.size(said) > 0, F.array_join(said, ", ")).alias("program"), composed_date(day["Year"], day["Month"], day["Day"]).alias("designation_date"), F.struct(F.expr("try_cast(_ID AS bigint)"), "_ID").alias("turn"))
     got = last_known(rows.where("source_entry_id IS NOT NULL"), "source_entry_id", F.col("turn"), ["program", "designation_date"])
     return got.withColumn("source", F.lit(source))
 
@@ -155,23 +155,31 @@ class Source:
     deferred: Callable[[Reader], DataFrame] | None = None
 
 
+def ofac(read: Reader, source: str) -> tuple[DataFrame, DataFrame]:
+    """Either form of the feed, told by its records: the advanced one has parties, the standard one entries. What there is none of is empty."""
+    new, old = ofac_advanced(read, source), ofac_standard(read, source)
+    return new[0].unionByName(old[0]), new[1].unionByName(old[1]).groupBy("source", "outcome").agg(F.sum("n").alias("n")).select("outcome", "n", "source")
+
+
 REGISTRY = [
-    Source("ofac_sdn", lambda read: ofac_advanced(read, "ofac_sdn"), lambda read: ofac_deferred(read, "ofac_sdn")),
-    Source("ofac_consolidated", lambda read: ofac_advanced(read, "ofac_consolidated"), lambda read: ofac_deferred(read, "ofac_consolidated")),
+    Source("ofac_sdn", lambda read: ofac(read, "ofac_sdn"), lambda read: ofac_deferred(read, "ofac_sdn")),
+    Source("ofac_consolidated", lambda read: ofac(read, "ofac_consolidated"), lambda read: ofac_deferred(read, "ofac_consolidated")),
     Source("eu", eu),
     Source("uk", uk),
     Source("un", un),
 ]
 
 
-def harvest(readers: dict[str, Reader]) -> tuple[DataFrame, DataFrame]:
-    """(designations of all sources that have a reader, counts by source and outcome), late programmes joined."""
+def harvest(readers: dict[str, Reader], turn: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(designations of all sources that have a reader, counts by source and outcome), late programmes joined. ``turn``: a column of the order in the feed."""
     from screenlake.operators.merge import apply_deferred
 
     rows, counts = [], []
     for s in REGISTRY:
         if s.code in readers:
             d, n = s.normalise(readers[s.code])
+            if turn:
+                d = d.withColumn(turn, F.monotonically_increasing_id())
             rows.append(apply_deferred(d, s.deferred(readers[s.code])) if s.deferred else d)
             counts.append(n)
     return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, counts)

@@ -2,7 +2,7 @@ from fixture_corpus import designations, edges, entities
 from test_sources import ADVANCED, EU, LEI1, LEI2
 
 from screenlake.plans import lifecycle
-from screenlake.schemas import LEI_RELATIONSHIP
+from screenlake.schemas import DESIGNATION, LEI_RELATIONSHIP
 from screenlake.sources import lists
 from screenlake.streaming.refresh import Store
 
@@ -23,6 +23,14 @@ def test_build_then_refresh(spark, tmp_path):
     assert got["lei"] == (1, "t2") and got["ofac_sdn"] == (2, "t2")
 
 
+def test_of_entries_that_repeat_in_a_feed_the_last_stays(spark, tmp_path):
+    read = lambda m: lists.column(spark.createDataFrame([(m,)], "m string"), "m")
+    store = Store(spark, str(tmp_path))
+    entry = lambda n: f'<sanctionEntity logicalId="5"><nameAlias wholeName="Name {n}"/></sanctionEntity>'
+    lifecycle.refresh(store, {"eu": read("<export>" + "".join(map(entry, range(12))) + "</export>")}, "t0")
+    assert [r.primary_name for r in store.read("designation", DESIGNATION).collect()] == ["Name 11"]
+
+
 def test_seed(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     lifecycle.seed(store, designations(spark), entities(spark), edges(spark, [("A", "B", "T")]), "t")

@@ -154,13 +154,13 @@ def test_bulk_walks_start_from_every_customer(spark):
     got = lambda name: sorted(tuple(r) for r in catalog.QUERIES[name](spark, SF).collect())
     walk = lambda way, depth: {r: walked(steps[way], r, depth) for r in every}
     assert len(every) > 100
-    for name, way, depth in (("bulk_trace_parents", "parents", 5), ("bulk_trace_children", "children", 2), ("bulk_trace_both", "both", 3)):
+    for name, way, depth in (("trace_parents", "parents", 5), ("trace_children", "children", 2), ("trace_both", "both", 3)):
         assert got(name) == sorted((r, lei, *x) for r, (seen, _, _) in walk(way, depth).items() for lei, x in seen.items())
-    assert got("bulk_trace_edges") == sorted((r, *e) for r, (_, held, _) in walk("both", 2).items() for e in held)
-    assert got("bulk_trace_truncated") == sorted((r, cut) for r, (_, _, cut) in walk("parents", 2).items())
-    assert got("bulk_missing_entities") == sorted((r, lei) for r, (seen, _, _) in walk("parents", 5).items() for lei in seen if lei not in known)
-    assert got("bulk_relationships_both") == sorted((lei, other, "child" if turn else "parent", e[2]) for lei in every for turn, other, e in steps["both"].get(lei, []))
-    nodes = got("bulk_screen_graph_nodes")
+    assert got("trace_edges") == sorted((r, *e) for r, (_, held, _) in walk("both", 2).items() for e in held)
+    assert got("trace_truncated") == sorted((r, cut) for r, (_, _, cut) in walk("parents", 2).items())
+    assert got("missing_entities") == sorted((r, lei) for r, (seen, _, _) in walk("parents", 5).items() for lei in seen if lei not in known)
+    assert got("relationships_both") == sorted((lei, other, "child" if turn else "parent", e[2]) for lei in every for turn, other, e in steps["both"].get(lei, []))
+    nodes = got("screen_graph_nodes")
     assert sorted(n[:2] for n in nodes) == sorted((r, lei) for r, (seen, _, _) in walk("parents", 3).items() for lei in seen)
     few = [tuple(r) for r in catalog.QUERIES["screen_graph_nodes"](spark, SF).collect()]
     assert few and set(few) <= set(nodes)
