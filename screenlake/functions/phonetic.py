@@ -140,4 +140,8 @@ def name_key(folded: str | None) -> str | None:
 
 @F.pandas_udf(StringType())
 def phonetic(folded: pd.Series) -> pd.Series:
-    return folded.map(name_key, na_action="ignore").astype(object).where(folded.notna(), None)
+    """Each distinct word of a batch is spelt out once."""
+    names = folded.dropna().unique()
+    keys = {w: word_key(w) for w in {w for n in names for w in n.split()}}
+    whole = {n: " ".join(filter(None, map(keys.__getitem__, n.split()))) for n in names}
+    return folded.map(whole, na_action="ignore").astype(object).where(folded.notna(), None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from screenlake.config import CAVEAT, NotFound, NotReady, SOURCES, Settings, che
 from screenlake.operators import merge, ownership, resolve, screen
 
 
-def get_designation(designations: DataFrame, source: str, entry_id: str) -> DataFrame:
-    """The record of a source's entry; NotFound if there is none."""
+def get_designation(designations: DataFrame, source: str, entry_id: str, *, ready: bool = True) -> DataFrame:
+    """The record of a source's entry; NotFound if there is none, NotReady if the lists were never completed."""
+    if not ready:
+        raise NotReady("the lists were never completed")
     check(source in SOURCES, f"source is one of {SOURCES}")
     got = designations.where((F.col("source") == source) & (F.col("id") == f"{source}:{entry_id}"))
     if got.limit(1).count() == 0:
@@ -31,6 +35,7 @@ def get_entities(leis: DataFrame, entities: DataFrame, names: DataFrame | None,
 
 def get_entity(lei: str, entities: DataFrame, names: DataFrame | None, *, lei_ready: bool = True, sanctions_ready: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """One entity and its hits; NotFound if there is none, NotReady without an entity corpus."""
+    check(re.fullmatch(ownership.LEI, lei) is not None, "an identifier has 18 letters or digits and 2 digits")
     if not lei_ready:
         raise NotReady("the entity corpus was never completed")
     one = entities.where(F.col("lei") == lei)

@@ -38,9 +38,13 @@ def fuzzy(q: DataFrame, entities: DataFrame, settings: Settings = Settings(), *,
     """Each pooled entity by its best admitted name: the unrounded score first, then covered tokens, then list order."""
     floor = settings.min_score if min_score is None else min_score
     cap = settings.max_fuzzy if cap == -1 else cap
-    pool = screen.candidates(q, _as_names(entities), settings.pool_limit if pool_limit == -1 else pool_limit, with_phonetic=False)
+    # Only what is compared goes through blocking; what is shown comes back to the rows that are left.
+    every = _as_names(entities)
+    slim = every.select("designation_id", "name_ord", "normalized")
+    pool = screen.candidates(q, slim, settings.pool_limit if pool_limit == -1 else pool_limit, with_phonetic=False)
+    pool = pool.select("query_id", "arm", "designation_id").join(every.drop("name_ord", "normalized", "tokens"), "designation_id")
     listed = F.concat(F.array("legal_name"), F.coalesce("other_names", F.array().cast("array<string>")))
-    named = pool.drop("normalized", "name_ord").select("*", F.posexplode(listed).alias("name_ord", "name")).withColumn("normalized", fold(F.col("name")))
+    named = pool.select("*", F.posexplode(listed).alias("name_ord", "name")).withColumn("normalized", fold(F.col("name")))
     rows = screen.scored(q, named, floor)
     best = Window.partitionBy("query_id", "designation_id").orderBy(F.desc("raw"), F.desc("covered"), "name_ord")
     rows = rows.withColumn("best", F.row_number().over(best)).where("best = 1")
@@ -65,3 +69,8 @@ def resolve(queries: DataFrame, entities: DataFrame, settings: Settings = Settin
     was_fuzzy = (F.lit(match_mode == "fuzzy") | (F.coalesce("n_strict", F.lit(0)) == 0)) & (F.size("q_tokens") > 0)
     facts = facts.select("query_id", F.col("folded").alias("normalized_query"), F.when(was_fuzzy, "fuzzy").otherwise("strict").alias("mode_used"), (was_fuzzy & F.lit(match_mode == "strict")).alias("fuzzy_fallback"), F.coalesce("n", F.lit(0)).cast("int").alias("total_available"), F.when(was_fuzzy | F.coalesce("capped", F.lit(False)), "lower_bound").otherwise("exact").alias("total_basis"))
     return hits.drop("capped"), facts
+
+
+def page(matches: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
+    """Matches of each query from ``offset``, at most 50."""
+    return screen.page(matches.withColumnRenamed("lei", "designation_id"), limit, offset, most=50).withColumnRenamed("designation_id", "lei")

@@ -1,7 +1,7 @@
 """Screening of names against the index, for any number of queries at once.
 
 A query that is alone is a table of one row, so single and bulk results are the same. Strict candidates come from one
-equi-join on a query's longest token and are checked natively; fuzzy candidates come from equi-joins on phonetic keys
+equi-join on the token of a query that is rarest among names and are checked natively; fuzzy candidates come from equi-joins on phonetic keys
 and on the 2- and 3-character pieces of names. Only what these leave is measured in Python. Every order is total.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from screenlake.config import ENTITY_TYPES, SOURCES, Settings, check
+from screenlake.config import ENTITY_TYPES, SOURCES, NotReady, Settings, check
 from screenlake.functions.phonetic import phonetic
 from screenlake.functions.similarity import admitted, measures
 from screenlake.functions.text import fold, grams, prefix_keys, tokens
@@ -41,9 +41,12 @@ def narrowed(names: DataFrame, sources: Sequence[str] = (), entity_type: str = "
 
 def strict_rows(q: DataFrame, names: DataFrame, cap: int | None = Settings.strict_cap) -> DataFrame:
     """Names that hold every token of a query: all of ``names`` with (query_id, exact, n_rows), the first ``cap`` of a query."""
-    longest = F.element_at(F.array_sort("q_tokens", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
-    keyed = q.where(F.size("q_tokens") > 0).withColumn("token", longest)
     posted = names.withColumn("token", F.explode(F.array_distinct("tokens")))
+    asked = q.where(F.size("q_tokens") > 0).withColumn("token", F.explode(F.array_distinct("q_tokens")))
+    # The rarest token of a query brings the fewest names; a query with a token that no name has has none at all.
+    often = posted.groupBy("token").agg(F.count("*").alias("n"))
+    counted = asked.join(often, "token", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rare"))
+    keyed = q.join(counted.where("rare.n > 0").select("query_id", F.col("rare.token").alias("token")), "query_id")
     hits = posted.join(keyed, "token").where(F.size(F.array_except("q_tokens", "tokens")) == 0).drop("token")
     hits = hits.withColumn("exact", F.col("normalized") == F.col("folded"))
     own = Window.partitionBy("query_id")
@@ -118,12 +121,14 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.withColumn("position", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy("query_id")).cast("int"))
 
 
-def screen(queries: DataFrame, names: DataFrame, settings: Settings = Settings(), *, match_mode: str = "strict", entity_type: str = "any", sources: Sequence[str] = (), min_score: float | None = None, auto_fallback: bool = True, phonetic_mode: str = "whole", **caps: int | None) -> tuple[DataFrame, DataFrame]:
-    """(all hits by query and position, one row of facts for each query).
+def screen(queries: DataFrame, names: DataFrame, settings: Settings = Settings(), *, match_mode: str = "strict", entity_type: str = "any", sources: Sequence[str] = (), min_score: float | None = None, auto_fallback: bool = True, phonetic_mode: str = "whole", ready: bool = True, **caps: int | None) -> tuple[DataFrame, DataFrame]:
+    """(all hits by query and position, one row of facts for each query). NotReady if the lists were never completed: none is no answer then.
 
     Strict queries without a strict hit turn to fuzzy unless ``auto_fallback`` is off; fuzzy hits come after strict ones,
     without the designations of these. Counts of fuzzy answers are lower bounds, those of strict ones too if capped."""
     check(match_mode in ("strict", "fuzzy"), "match_mode is strict or fuzzy")
+    if not ready:
+        raise NotReady("the lists were never completed")
     names = narrowed(names, sources, entity_type)
     q = prepared(queries)
     firm = strict(q, names, caps.pop("strict_cap", settings.strict_cap))

@@ -13,6 +13,7 @@ from screenlake.functions.phonetic import phonetic
 from screenlake.functions.similarity import admitted, jaro, jaro_winkler, measures
 from screenlake.functions.text import fold, length_ratio, prefix_keys, tokens, usable
 from screenlake.operators import merge, ownership, records, resolve, screen
+from screenlake.operators.names import name_index as built_names
 from screenlake.plans import crosswalk as cw
 from screenlake.schemas import MIRROR_STATE
 
@@ -103,7 +104,9 @@ def fuzzy_admission(spark, sf_dir):
     return m.select("p_partkey", fine.alias("admitted"), F.round(F.greatest("m.whole", "m.token"), 4).alias("score"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE said AS (SELECT unnest({cw.sql_tokens(cw.sql_fold('text'))}) AS word FROM conversations),{cw.sql_phonetic('said', 'spoken')} SELECT word AS token, (SELECT count(*) FROM said x WHERE x.word = spoken.word) AS n, key FROM spoken"
+)
 def phonetic_keys(spark, sf_dir):
     words = cw.table(spark, sf_dir, "conversations").select(F.explode(tokens(fold(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return words.select("token", "n", phonetic("token").alias("key"))
@@ -223,7 +226,16 @@ def bulk_screen_fuzzy(spark, sf_dir):
     return screen.fuzzy(q, cw.names(spark, sf_dir), cap=None, pool_limit=None).select(*HIT, "score", "covered", "n_tokens")
 
 
-@query()
+_DOUBLED = "asked AS (SELECT DISTINCT p_name AS query_id, p_name || right(p_name, 1) AS query FROM part)"
+_SPOKEN = f"""{_DOUBLED}, q AS (SELECT query_id, {cw.sql_tokens(cw.sql_fold("query"))} AS q_tokens FROM asked), every_word AS (SELECT unnest(tokens) AS word FROM names UNION SELECT unnest(q_tokens) FROM q),{cw.sql_phonetic("every_word", "spoken")},
+q_key AS (SELECT DISTINCT query_id, key FROM (SELECT query_id, unnest(q_tokens) AS word FROM q) JOIN spoken USING (word) WHERE key <> '')"""
+
+
+@query(
+    f"""WITH RECURSIVE {cw.NAME_CTE}, {_SPOKEN}, n AS (SELECT designation_id, name_ord, unnest(range(len(tokens))) AS i, unnest(tokens) AS word FROM names),
+  n_key AS (SELECT designation_id, name_ord, string_agg(key, ' ' ORDER BY i) FILTER (key <> '') AS phonetic, list_distinct(list(key) FILTER (key <> '')) AS keys FROM n JOIN spoken USING (word) GROUP BY ALL)
+  SELECT DISTINCT query_id, designation_id, name_ord, phonetic FROM (SELECT *, unnest(keys) AS key FROM n_key) JOIN q_key USING (key)"""
+)
 def phonetic_block(spark, sf_dir):
     """Sound keys word by word: every distinct name, its last letter doubled, against the whole index."""
     texts = cw.table(spark, sf_dir, "part").select(F.col("p_name").alias("query_id"), F.concat("p_name", F.substring("p_name", -1, 1)).alias("query")).distinct()
@@ -231,6 +243,20 @@ def phonetic_block(spark, sf_dir):
     return found.select("query_id", "designation_id", "name_ord", "phonetic")
 
 
+@query(
+    f"""WITH RECURSIVE {cw.NAME_CTE}, {_SPOKEN}, one_word AS (SELECT id AS designation_id, {cw.sql_tokens(cw.sql_fold("primary_name"))} AS w FROM designation)
+  SELECT query_id, designation_id, key AS phonetic FROM (SELECT designation_id, w[1 + len(designation_id) % 2] AS word FROM one_word) JOIN spoken USING (word) JOIN q_key USING (key) WHERE key <> ''"""
+)
+def phonetic_block_whole(spark, sf_dir):
+    """Sound keys of whole names, which only names of one word share with a word: each name is one of its words here."""
+    texts = cw.table(spark, sf_dir, "part").select(F.col("p_name").alias("query_id"), F.concat("p_name", F.substring("p_name", -1, 1)).alias("query")).distinct()
+    d = cw.designations(spark, sf_dir)
+    word = F.get(tokens(F.col("normalized_name")), F.length("id") % 2)
+    d = d.select("id", word.alias("primary_name"), F.array().cast("array<struct<name:string,name_type:string>>").alias("aliases"))
+    found = screen.candidates(screen.prepared(texts), built_names(d), None).where("arm = 0")
+    return found.select("query_id", "designation_id", "phonetic")
+
+
 # Resolution
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,3 +136,40 @@ def sql_measures(pool: str, out: str, floor: float) -> str:
 
 def sql_admitted(floor: float) -> str:
     return f"((whole >= {floor} AND least(len(folded), len(normalized)) / greatest(len(folded), len(normalized), 1) >= 0.5) OR (token >= {floor} AND covered * 2 >= n_tokens))"
+
+
+def sql_phonetic(words: str, out: str) -> str:
+    """CTEs after ``words`` (word): ``out`` (word, key) by the table of rules, one letter a step. A pattern that excludes something is two, one of which must not match."""
+    from screenlake.functions import phonetic as ph
+
+    def parted(text: str) -> tuple[str, str]:
+        """(what must match, what must not): without look-ahead, which the SQL engine hasn't."""
+        got = re.search(r"\(\?!([^)]*)\)", text)
+        return (text.replace(got[0], ""), text[: got.start()] + got[1]) if got else (text, "")
+
+    rows = []
+
+    def add(letter: str, rules: list, when: str = "") -> None:
+        for ahead, behind, code, used in rules:
+            yes, no = parted(ahead.pattern)
+            back = "" if behind is None else behind.pattern
+            back, back_no = {"(?:(?<!WI))$": ("", "WI$"), "(?:^(?!M$).*)$": ("", "^M$")}.get(back, (back, ""))
+            rows.append((letter, len(rows), when, f"^(?:{yes})", f"^(?:{no})" if no else "", back, back_no, code, used))
+
+    for letter, rules in ph._TABLE.items():
+        add(letter, rules)
+    for rules, when in ((ph._G, ""), (ph._GN, "plain"), (ph._GN_SLAVIC, "slavic"), (ph._G_REST, ""), (ph._G_SOFT, "soft"), (ph._G_LAST, "")):
+        add("G", rules, when)
+    values = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+    unit = "substr(s, pos + 1)"
+    before = "substr(s, 1, pos)"
+    return f"""
+{out}_rules(letter, ord, cond, ahead, ahead_no, behind, behind_no, code, used) AS (VALUES {values}),
+{out}_word AS (SELECT word, s, regexp_matches(s, 'W|K|CZ') AS slavic, regexp_matches(s, '^[DRM]ANGER') AS hard FROM (SELECT DISTINCT word, regexp_replace(upper(word), '[^A-Z]', '', 'g') AS s FROM {words})),
+{out}_walk AS (SELECT word, s, slavic, hard, CASE WHEN s[1] = 'X' OR regexp_matches(s, '^(GN|KN|PN|WR|PS)') THEN 1 ELSE 0 END AS pos, CASE WHEN s[1] = 'X' THEN 'S' ELSE '' END AS key FROM {out}_word
+  UNION ALL SELECT word, s, slavic, hard, pos + coalesce(used, 1), key || coalesce(code, '') FROM (
+    SELECT w.*, r.used, r.code, row_number() OVER (PARTITION BY word ORDER BY r.ord) AS nth FROM {out}_walk w LEFT JOIN {out}_rules r ON r.letter = substr(s, pos + 1, 1) AND regexp_matches({unit}, r.ahead)
+      AND (r.ahead_no = '' OR NOT regexp_matches({unit}, r.ahead_no)) AND (r.behind = '' OR regexp_matches({before}, r.behind)) AND (r.behind_no = '' OR NOT regexp_matches({before}, r.behind_no))
+      AND (r.cond = '' OR (r.cond = 'plain' AND NOT slavic) OR (r.cond = 'slavic' AND slavic) OR (r.cond = 'soft' AND NOT hard AND substr(s, greatest(pos, 1)::BIGINT, CASE WHEN pos = 0 THEN 2 ELSE 3 END) NOT IN ('RGY', 'OGY')))
+    WHERE pos < len(s)) WHERE nth = 1),
+{out} AS (SELECT word, replace(key, '-', '') AS key FROM {out}_walk WHERE pos >= len(s))"""
