@@ -501,8 +501,3 @@ def zip_dob_pob(spark, sf_dir):
 def map_entity_type(spark, sf_dir):
     party = F.element_at(F.array(*map(F.lit, ("1", "2", "4", "5", "9"))), F.col("p_size") % 5 + 1)
     return cw.table(spark, sf_dir, "part").select("p_partkey", normalise.party_type(party).alias("entity_type"))
-
-
-@query()
-def vet_pipeline(spark, sf_dir):
-    return records.vet(_every(spark, sf_dir), cw.names(spark, sf_dir), cw.entities(spark, sf_dir), cw.relationships(spark, sf_dir))

@@ -9,7 +9,7 @@ def test_names_and_sql_go_together():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["fold_documents", "strict_screen", "merged_screen", "resolve_strict", "trace_both", "upsert_latest", "record_fragments", "list_sources", "compose_date"])
+@pytest.mark.parametrize("name", ["fold_documents", "strict_screen", "merged_screen", "resolve_strict", "trace_parents", "upsert_latest", "record_fragments", "list_sources", "compose_date", "ingest_ofac_standard", "ingest_ofac_advanced", "ingest_eu", "ingest_uk", "ingest_un", "ingest_all_counts", "ingest_lei_level1", "ingest_lei_level2", "insert_relationships", "mark_ready", "guard_content", "registry_file_urls", "phonetic_keys", "phonetic_block_whole", "screen_facts", "screen_page", "get_entities", "graph_facts", "graph_nodes", "bulk_resolve_strict", "vet_pipeline"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 

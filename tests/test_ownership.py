@@ -74,10 +74,15 @@ def test_records(spark):
     assert records.get_designation(d, "un", "FX-6006").first().primary_name == "Mohammed Al-Testi"
     with pytest.raises(NotFound):
         records.get_designation(d, "un", "no")
+    with pytest.raises(InvalidRequest):
+        records.get_entity("X", entities(spark), names)
+    for call in (lambda: records.get_designation(d, "un", "FX-6006", ready=False), lambda: screen.screen(screen.queries_of(spark, ["Ivan Volkov"]), names, ready=False), lambda: records.get_entity("5493001KJTIIGC8Y1R12", entities(spark), names, lei_ready=False)):
+        with pytest.raises(NotReady):
+            call()
     got, hits = records.get_entity("5493001KJTIIGC8Y1R12", entities(spark), names)
     assert (got.first().matches, got.first().screening, hits.first().designation_id) == (1, "screened", "ofac_consolidated:FX-2002")
     with pytest.raises(NotFound):
-        records.get_entity("X", entities(spark), names)
+        records.get_entity("5493001KJTIIGC8Y1R99", entities(spark), names)
     assert records.get_entity("5493001KJTIIGC8Y1R12", entities(spark), None)[0].first().screening == "not_ready"
     row = spark.createDataFrame([("5493001KJTIIGC8Y1R12",), ("5493001kjtiigc8y1r12",), (None,)], "x string").select(ownership.is_lei(ownership.F.col("x")))
     assert [r[0] for r in row.collect()] == [True, False, False]
