@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from screenlake.llm import ids
 from screenlake.llm.ids import named
-from screenlake.llm.storage import staged
+from screenlake.llm.storage import Scratch, staged
 from screenlake.llm.textcols import word_spans
 
 MILLION = 1_000_000
@@ -68,7 +68,7 @@ def source_of(docs: DataFrame) -> Column:
     return F.coalesce(named("source").cast("string"), F.lit(""))
 
 
-def _ranged(docs: DataFrame, seed: int) -> DataFrame:
+def _ranged(docs: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """(range, source, key, id, n_tokens, doc_id, local): sorted by source and key; ``local`` is the prefix sum in the range."""
     rows = docs.select(source_of(docs).alias("source"), key_of(named("doc_id"), seed).alias("key"), ids.key_of(docs, "doc_id").alias("id"), tokens_of(named("text")).alias("n_tokens"), named("doc_id").alias("doc_id"))
     order = ["source", "key", "id", "n_tokens"]
@@ -93,13 +93,13 @@ def _ranged(docs: DataFrame, seed: int) -> DataFrame:
             last, before = names[code[-1]], int(local[-1] + n[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local)], names=[*batch.schema.names, "local"])
 
-    return staged(rows.mapInArrow(run, f"source string, key long, id long, n_tokens long, doc_id {kind}, range int, local long"), "ranges")
+    return scratch.staged(rows.mapInArrow(run, f"source string, key long, id long, n_tokens long, doc_id {kind}, range int, local long"), "ranges")
 
 
-def _placed(docs: DataFrame, weights: dict[str, float] | None, total: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
+def _placed(docs: DataFrame, weights: dict[str, float] | None, total: int | None, seed: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The documents with ``start``, their prefix sums; the budgets."""
-    ranged = _ranged(docs, seed)
-    sums = staged(ranged.groupBy("source", "range").agg(F.sum("n_tokens").alias("n")), "sums")
+    ranged = _ranged(docs, seed, scratch)
+    sums = scratch.staged(ranged.groupBy("source", "range").agg(F.sum("n_tokens").alias("n")), "sums")
     before = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     planned = budgets(sums.groupBy("source").agg(F.sum("n").alias("size")), weights, total)
     placed = ranged.join(before, ["source", "range"]).withColumn("start", F.col("local") + F.col("before")).join(planned, "source")
@@ -108,7 +108,7 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, total: int | None
 
 def schedule(docs: DataFrame, *, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 0) -> DataFrame:
     """(doc_id, source, epoch, key, start, n_tokens, taken): one row for each time that a document is taken."""
-    placed, _ = _placed(docs, weights, total, seed)
+    placed, _ = _placed(docs, weights, total, seed, Scratch(docs.sparkSession))
     last = F.col("start") < F.col("rest")
     times = (F.col("epochs") + F.when(last, 1).otherwise(0)).cast("int")
     got = placed.where("n_tokens > 0").where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
@@ -125,13 +125,15 @@ def first_words(text: str, n: int) -> str:
 
 def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 0) -> DataFrame:
     """``docs``, each row as often as ``schedule`` takes it, all columns as they were; the last of a budget only as far as it counts."""
-    placed, planned = _placed(docs, weights, total, seed)
+    scratch = Scratch(docs.sparkSession)
+    placed, planned = _placed(docs, weights, total, seed, scratch)
     none = F.lit(-(1 << 63))
     placed = placed.where("n_tokens > 0").withColumn("at", F.struct("key", F.coalesce("id", none).alias("id")))
     ends = placed.where("start < rest").groupBy("source").agg(F.max("at").alias("end"))
     opened = placed.join(ends, "source").where(F.col("at") == F.col("end")).groupBy("source").agg(F.min("start").alias("first"))
     cut = planned.join(ends, "source", "left").join(opened, "source", "left").select(F.col("source").alias("__source"), "end", F.struct("epochs", "rest", "first").alias("__plan"))
     cut = staged(cut, "cuts")
+    scratch.drop()
     names = [f"__{i}" for i in range(len(docs.columns))]  # whatever the columns are called
     text = F.col(names[docs.columns.index("text")])
     own = F.struct(key_of(named("doc_id"), seed).alias("key"), F.coalesce(ids.key_of(docs, "doc_id"), none).alias("id"))

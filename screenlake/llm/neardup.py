@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenlake.llm.ids import key_of, named
-from screenlake.llm.storage import staged
+from screenlake.llm.storage import Scratch, staged
 from screenlake.llm.textcols import LOWER, blocks, list_array, mix, range_hash, ranges, release, slices, word_spans
 
 SHINGLE = 3
@@ -459,17 +459,19 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(named("doc_id").alias("name"), rank.alias("rank"), F.xxhash64(rank, F.col("text")).alias("row"), F.col("text").alias("text"))
 
 
-def _classes(docs: DataFrame, ensemble: Ensemble) -> Classes:
+def _classes(docs: DataFrame, ensemble: Ensemble, lasting: Scratch) -> Classes:
+    """What the result reads goes with ``lasting``, all else at once."""
+    scratch = Scratch(docs.sparkSession)
     rows = _rows(docs).where("text IS NOT NULL")
     kind = rows.schema["name"].dataType.simpleString()
     form = f"name {kind}, rank long, row long, size int, doc long, two long, sketch binary, keys array<long>"
-    members = staged(rows.mapInArrow(_signatures(ensemble.layout()), form), "signatures")
+    members = lasting.staged(rows.mapInArrow(_signatures(ensemble.layout()), form), "signatures")
     best = F.min(F.struct("rank", "row", "name")).alias("m")
     firsts = members.groupBy("doc", "two", "size").agg(best, F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    firsts = staged(firsts.select("doc", "two", "size", "m.rank", "m.row", "m.name", "sketch", "keys"), "classes")
+    firsts = lasting.staged(firsts.select("doc", "two", "size", "m.rank", "m.row", "m.name", "sketch", "keys"), "classes")
 
     found = firsts.select(F.posexplode("keys").alias("band", "key"), "doc", "size", "rank").select("key", F.col("band").cast("int").alias("band"), "doc", "size", "rank")
-    met = staged(found.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, band int, doc long, size int, rank long"), "bands")
+    met = scratch.staged(found.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, band int, doc long, size int, rank long"), "bands")
     sketched = firsts.select("doc", "size", "sketch")
 
     def near(some: DataFrame, every: bool) -> DataFrame:
@@ -481,7 +483,7 @@ def _classes(docs: DataFrame, ensemble: Ensemble) -> Classes:
 
     def checked(pairs: DataFrame) -> DataFrame:
         """(doc, copy_of, containment, size_b) of those pairs (a, b) of which b holds a and ranks before it; for each a the best."""
-        pairs = staged(pairs.select("a", "b").distinct(), "pairs")
+        pairs = scratch.staged(pairs.select("a", "b").distinct(), "pairs")
         salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("salts"))
         guests = pairs.join(salts, "b").select(F.col("a").alias("doc"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a")
         hosts = salts.select(F.col("b").alias("doc"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"))
@@ -498,12 +500,12 @@ def _classes(docs: DataFrame, ensemble: Ensemble) -> Classes:
     total = firsts.agg(F.sum("size")).first()[0] or 1
     bits = min(30, max(4, math.ceil(math.log2(total / BUCKET))))
     spread = rows.select("text").mapInArrow(_spread(bits, min(56, max(bits, math.ceil(math.log2(total))) + SPARE)), "bucket int, body binary")
-    far = staged(spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "key long, doc long, size int, part int, larger int, top long, holds boolean"), "met")
+    far = scratch.staged(spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "key long, doc long, size int, part int, larger int, top long, holds boolean"), "met")
     asks = far.where("larger > 0").select(F.col("doc").alias("a"), "size", "larger", "key", "top").repartition("a").sortWithinPartitions("a", "larger", "key")
-    asks = staged(asks.mapInArrow(_alive(ensemble), "a long, part int, key long, held int, top long, n long"), "asks")
+    asks = scratch.staged(asks.mapInArrow(_alive(ensemble), "a long, part int, key long, held int, top long, n long"), "asks")
 
     likely = near(met.withColumn("open", F.lit(True)), False).groupBy("a").agg(F.max(F.struct("equal", "b")).alias("m")).select("a", "m.b")
-    led = staged(checked(likely.unionByName(asks.select("a", F.col("top").alias("b")))), "led")
+    led = scratch.staged(checked(likely.unionByName(asks.select("a", F.col("top").alias("b")))), "led")
 
     settled = led.select("doc", F.lit(False).alias("open"))
     left = met.join(settled, "doc", "left").select("key", "band", "doc", "size", "rank", F.coalesce("open", F.lit(True)).alias("open"))
@@ -512,14 +514,16 @@ def _classes(docs: DataFrame, ensemble: Ensemble) -> Classes:
     holds = far.where("holds").select("key", F.col("doc").alias("b"), F.col("part").alias("part_b"))
     apart = rare.join(holds, "key").where(f"part_b >= part + {GAPS} AND a != b").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("held").alias("held")).where("n >= held")
     links = led.unionByName(checked(near(left, True).select("a", "b").unionByName(apart.select("a", "b"))))
-    return Classes(members.select("name", "rank", "row", "doc", "two", "size"), firsts, staged(links, "links"))
+    links = lasting.staged(links, "links")
+    scratch.drop()
+    return Classes(members.select("name", "rank", "row", "doc", "two", "size"), firsts, links)
 
 
 def copies(docs: DataFrame, ensemble: Ensemble = Ensemble()) -> DataFrame:
     """(doc_id, copy_of, containment): one row for each document that is an exact or near copy, with one it copies.
 
     The first document of a class has the class that its own is a near copy of; the others have the first, with 1."""
-    c = _classes(docs, ensemble)
+    c = _classes(docs, ensemble, Scratch(docs.sparkSession))
     firsts = c.firsts.select("doc", "two", "size", F.col("row").alias("first_row"), F.col("name").alias("first"))
     target = c.firsts.select(F.col("doc").alias("copy_of"), F.col("name").alias("to"))
     linked = firsts.join(c.links.join(target, "copy_of").select("doc", "to", "containment"), "doc", "left")
@@ -531,10 +535,12 @@ def copies(docs: DataFrame, ensemble: Ensemble = Ensemble()) -> DataFrame:
 
 def deduplicate(docs: DataFrame, ensemble: Ensemble = Ensemble()) -> DataFrame:
     """``docs`` without the copies, all columns as they were: of each group the document that ranks first stays, as one row."""
-    c = _classes(docs, ensemble)
+    scratch = Scratch(docs.sparkSession)
+    c = _classes(docs, ensemble, scratch)
     firsts = c.firsts.select("doc", "two", "size", F.col("row").alias("first_row")).join(c.links.select("doc", F.lit(True).alias("linked")), "doc", "left")
     rows = c.members.groupBy("row").agg(F.first("doc").alias("doc"), F.first("two").alias("two"), F.first("size").alias("size"), F.count("*").alias("times"))
     marks = staged(rows.join(firsts, ["doc", "two", "size"]).where("row != first_row OR linked OR times > 1").select(F.col("row").alias("__row"), (F.coalesce("linked", F.lit(False)) | (F.col("row") != F.col("first_row"))).alias("__gone")), "marks")
+    scratch.drop()
     names = [f"__{i}" for i in range(len(docs.columns))]  # whatever the columns are called
     rank = F.coalesce(key_of(docs, "doc_id"), F.lit((1 << 63) - 1))
     keyed = docs.select(*(named(x).alias(n) for x, n in zip(docs.columns, names)), F.xxhash64(rank, F.col("text")).alias("__row"))
