@@ -1,6 +1,11 @@
 """The training-corpus pipeline: five stages over ``documents``, each written as Parquet and read again for the next.
 
 The first four return the columns of ``documents``; the last returns ``doc_id`` and the tokens of each text.
+
+Defined results: null and empty texts aren't toxic, copies or repeats, and have no tokens, so that they pass the first three
+stages and are left behind by the mixture; a row without an id is never cut for repeats, and goes as a copy of an equal
+text; rows that repeat id and text become one; ids, if they aren't integers, rank by a hash; very long texts are taken whole;
+further columns, whatever they are called, are kept up to the last stage; an empty table gives an empty one.
 """
 
 from __future__ import annotations
