@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import time
+from collections.abc import Callable, Mapping
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenlake.config import InvalidRequest, check
 from screenlake.operators import merge, records
 from screenlake.operators.names import name_index
 from screenlake.schemas import DESIGNATION, LEI_ENTITY, LEI_RELATIONSHIP, MIRROR_STATE, NAME
@@ -59,6 +62,68 @@ def refresh(store: Store, readers: Mapping[str, lists.Reader], now: str, *, leve
     return counts
 
 
+def refresh_lists(store: Store, readers: Mapping[str, lists.Reader], now: str, *, budget: float = 4 * 3600.0, clock: Callable[[], float] = time.monotonic) -> bool:
+    """The lists source by source, each stamped when it is merged, so that a run that is out of time, or dies, goes on from there.
+
+    Gives whether all were merged; only then names are rebuilt and the lists marked ready."""
+    began = clock()
+    state = {r["mirror"]: r for r in store.read("state", MIRROR_STATE).collect()}  # two rows
+    old = state.get("sanctions")
+    codes = [s.code for s in lists.REGISTRY if s.code in readers]
+    done = codes.index(old["checkpoint"]) + 1 if old is not None and old["checkpoint"] in codes else 0
+    for code in codes[done:]:
+        if clock() - began > budget:
+            return False
+        rows, _ = lists.harvest({code: readers[code]}, "__turn")
+        store.write("designation", merge.upsert(store.read("designation", DESIGNATION), rows, ["id"], ["__turn"]))
+        last = merge.state(store.spark, "sanctions", "running", old["completed_at"] if old is not None else None, old["total"] if old is not None else 0, code)
+        store.write("state", merge.upsert(store.read("state", MIRROR_STATE), last, ["mirror"], ["checkpoint"]))
+    built = store.read("designation", DESIGNATION)
+    store.write("name", name_index(built))
+    _ready(store, "sanctions", now, built.count())
+    return True
+
+
+def _field(text: str, low: int, high: int) -> set[int]:
+    out: set[int] = set()
+    for part in text.split(","):
+        span, _, step = part.partition("/")
+        a, _, b = span.partition("-")
+        first, last = (low, high) if span == "*" else (int(a), int(b) if b else high if step else int(a))
+        check(low <= first <= last <= high, f"{text} isn't within {low} to {high}")
+        out |= set(range(first, last + 1, int(step or 1)))
+    return out
+
+
+def next_run(cron: str, after: datetime) -> datetime:
+    """The first minute after ``after`` that a schedule of five fields names (Sunday is 0 or 7)."""
+    fields = cron.split()
+    check(len(fields) == 5, "a schedule has five fields")
+    minutes, hours, days, months, weekdays = (_field(f, lo, hi) for f, lo, hi in zip(fields, (0, 0, 1, 1, 0), (59, 23, 31, 12, 7)))
+    weekdays = {d % 7 for d in weekdays}
+    either = fields[2] != "*" and fields[4] != "*"  # then one of them is enough
+    at = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    for _ in range(366 * 5):
+        own = at.day in days, (at.weekday() + 1) % 7 in weekdays
+        if at.month in months and (any(own) if either else all(own)):
+            for h in sorted(hours):
+                for m in sorted(minutes):
+                    if (h, m) >= (at.hour, at.minute):
+                        return at.replace(hour=h, minute=m)
+        at = (at + timedelta(days=1)).replace(hour=0, minute=0)
+    raise InvalidRequest(f"{cron} never comes")
+
+
+def serve(run: Callable[[datetime], None], cron: str, *, stop: Callable[[], bool], clock: Callable[[], datetime] = datetime.now, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Calls ``run`` whenever the schedule says, until ``stop``. What comes due during a run is left out."""
+    while not stop():
+        due = next_run(cron, clock())
+        while not stop() and (left := (due - clock()).total_seconds()) > 0:
+            sleep(min(left, 60.0))
+        if not stop():
+            run(due)
+
+
 def verify(store: Store) -> DataFrame:
     """The source list of what stands."""
     return records.list_sources(store.read("designation", DESIGNATION), store.read("lei_entity", LEI_ENTITY), store.read("lei_relationship", LEI_RELATIONSHIP), store.read("state", MIRROR_STATE))

@@ -55,11 +55,16 @@ def guarded(spark: SparkSession, path: str) -> None:
             stream.close()
         if raw.strip():
             break
-    head = raw.decode("utf-8", "replace").lstrip("\ufeff")
-    if not head.strip() or re.match(GUARD, head):
+    if wrong_head(raw):
         raise WrongContent(path)
 
 
+def wrong_head(raw: bytes) -> bool:
+    """``is_wrong`` of the first bytes of one file."""
+    head = raw.decode("utf-8", "replace").lstrip("\ufeff")
+    return not head.strip() or re.match(GUARD, head) is not None
+
+
 def _system(spark: SparkSession, path):
     return path.getFileSystem(spark._jsc.hadoopConfiguration())
 

@@ -1,8 +1,12 @@
+from datetime import datetime, timedelta
+
+import pytest
 from fixture_corpus import designations, edges, entities
 from test_sources import ADVANCED, EU, LEI1, LEI2
 
+from screenlake.config import InvalidRequest
 from screenlake.plans import lifecycle
-from screenlake.schemas import DESIGNATION, LEI_RELATIONSHIP
+from screenlake.schemas import DESIGNATION, LEI_RELATIONSHIP, MIRROR_STATE
 from screenlake.sources import lists
 from screenlake.streaming.refresh import Store
 
@@ -31,6 +35,38 @@ def test_of_entries_that_repeat_in_a_feed_the_last_stays(spark, tmp_path):
     assert [r.primary_name for r in store.read("designation", DESIGNATION).collect()] == ["Name 11"]
 
 
+def test_a_refresh_goes_on_where_it_stopped(spark, tmp_path):
+    read = lambda m: lists.column(spark.createDataFrame([(m,)], "m string"), "m")
+    store, ticks, seen = Store(spark, str(tmp_path)), iter([0, 1, 99, 0, 1]), []
+
+    def noted(code, markup):
+        return lambda tag, schema: (seen.append(code), read(markup)(tag, schema))[1]
+
+    readers = {"ofac_sdn": noted("ofac_sdn", ADVANCED), "eu": noted("eu", EU)}
+    assert not lifecycle.refresh_lists(store, readers, "t1", budget=50, clock=lambda: next(ticks))
+    state = store.read("state", MIRROR_STATE).first()
+    assert (state.status, state.completed_at, state.checkpoint) == ("running", None, "ofac_sdn") and "eu" not in seen
+    seen.clear()
+    assert lifecycle.refresh_lists(store, readers, "t2", budget=50, clock=lambda: next(ticks))
+    state = store.read("state", MIRROR_STATE).first()
+    assert (state.status, state.completed_at, state.total) == ("complete", "t2", 4) and set(seen) == {"eu"} and lifecycle.names(store).count() > 4
+
+
+def test_schedules():
+    at = datetime(2024, 2, 28, 4, 0, 30)
+    assert lifecycle.next_run("0 4 * * *", at) == datetime(2024, 2, 29, 4, 0)
+    assert lifecycle.next_run("*/20 * * * *", at) == datetime(2024, 2, 28, 4, 20)
+    assert lifecycle.next_run("30 1 1 3-5 *", at) == datetime(2024, 3, 1, 1, 30)
+    assert lifecycle.next_run("0 0 * * 7", at) == datetime(2024, 3, 3) and lifecycle.next_run("0 0 29 2 *", at.replace(day=29)) == datetime(2028, 2, 29)
+    assert lifecycle.next_run("0 0 13 * 5", at) == datetime(2024, 3, 1)  # a Friday comes before the 13th
+    for bad in ("0 4 * *", "61 * * * *", "0 0 31 2 *"):
+        with pytest.raises(InvalidRequest):
+            lifecycle.next_run(bad, at)
+    now, runs = [at], []
+    lifecycle.serve(runs.append, "0 4 * * *", stop=lambda: len(runs) == 3, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + timedelta(seconds=s)))
+    assert runs == [datetime(2024, 2, 29, 4), datetime(2024, 3, 1, 4), datetime(2024, 3, 2, 4)]
+
+
 def test_seed(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     lifecycle.seed(store, designations(spark), entities(spark), edges(spark, [("A", "B", "T")]), "t")
