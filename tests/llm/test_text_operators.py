@@ -149,6 +149,28 @@ def test_equal_and_lightly_edited_texts_share_anchors(spark):
     assert all(len(set(got[2000 + i]) & set(got[3000 + i])) >= 3 for i in range(20))
 
 
+def test_fingerprints_are_matched_by_position(spark):
+    r = random.Random(8)
+    word = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    passage = word(50)
+    texts = {"a": f"{word(20)} {passage} {word(5)}", "b": f"{word(90)} {passage}", "c": word(60), "e": ""}
+    texts["d"] = texts["a"]
+    prints = syncmers.fingerprint(spark.createDataFrame(list(texts.items()), "doc_id string, text string"))
+    pairs = [("a", "b"), ("b", "a"), ("a", "c"), ("a", "d"), ("a", "e"), ("a", "none"), (None, "a")]
+    got = {(q.a, q.b): (q.shared, q.shift, q.aligned) for q in syncmers.align(prints, spark.createDataFrame(pairs, "a string, b string")).collect()}
+    own = {q.doc_id: dict(zip(q.positions, q.hashes)) for q in prints.collect()}
+    assert set(got) == set(pairs[:5])
+    for (x, y), (shared, shift, aligned) in got.items():
+        near = {}
+        for i, h in own[x].items():
+            for j, g in own[y].items():
+                if h == g:
+                    near[j - i] = near.get(j - i, 0) + 1
+        assert shared == sum(h in own[y].values() for h in own[x].values()) and aligned == max(near.values(), default=0)
+        assert shift == (min(k for k, n in near.items() if n == aligned) if near else None)
+    assert got["a", "b"][1] == texts["b"].index(passage) - texts["a"].index(passage) and got["a", "b"][2] > 10 and got["a", "d"][1:] == (0, len(own["a"])) and got["a", "e"] == (0, None, 0)
+
+
 def test_syncmers_of_awkward_tables(spark):
     got = {r.doc_id: r for r in syncmers.fingerprint(awkward(spark)).collect()}
     assert got[3].n_anchors == got[4].n_anchors == 0 and got[6].n_anchors == len(got[6].positions) == len(got[6].hashes) > 1000
