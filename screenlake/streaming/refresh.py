@@ -43,8 +43,19 @@ class Store:
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/v{v}")
         fs, p = self._fs(f"{self.root}/{name}/done-{v}")
         fs.create(p, True).close()
+        self.prune(name)
         return v
 
+    def prune(self, name: str, keep: int = 2) -> None:
+        """Drops all but the last ``keep`` versions: readers of the one before the last may still be at work."""
+        last = self.version(name)
+        fs, p = self._fs(f"{self.root}/{name}")
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            at = s.getPath().getName()
+            number = at.removeprefix("done-").removeprefix("v")
+            if number.isdigit() and int(number) <= last - keep:
+                fs.delete(s.getPath(), True)
+
 
 def upsert_batches(stream: DataFrame, store: Store, name: str, schema: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, after: Callable[[DataFrame], None] | None = None):
     """Starts a query that merges all that has come, batch by batch, and ends. ``after`` sees each batch once merged."""
