@@ -33,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -215,6 +215,11 @@ def _met(stored: DataFrame, asking: DataFrame, batch: int) -> DataFrame:
     return here.unionByName(there, allowMissingColumns=True).repartition("node", "salt").sortWithinPartitions("node", "salt", "kind")
 
 
+def _root() -> Column:
+    """The node 0, not as a constant: a join on it is then one by key."""
+    return F.pmod(F.col("vec_id"), F.lit(1)).cast("long")
+
+
 class Forest:
     """The tree of a table, by tables in the shared folder.
 
@@ -228,8 +233,8 @@ class Forest:
     def _grow(self, had: DataFrame, width: int) -> None:
         """Nodes of more than ``cell`` points are divided, level by level, among points drawn from them by hash."""
         shape, kind, value = self.shape, self.kind, np.float32 if "float" in self.kind else np.float64
-        at = had.select("vec_id", "embedding", F.lit(0).cast("long").alias("node"), F.lit(float("nan")).alias("to_parent"))
-        big = had.agg(F.count("*").alias("n")).select(F.lit(0).cast("long").alias("node"), "n")
+        at = had.select("vec_id", "embedding", _root().alias("node"), F.lit(float("nan")).alias("to_parent"))
+        big = had.groupBy(_root().alias("node")).agg(F.count("*").alias("n"))
         done: list[DataFrame] = []
         nodes: list[DataFrame] = []
 
@@ -355,7 +360,7 @@ class Forest:
                     take = pa.array(i)
                     yield pa.RecordBatch.from_arrays([p.column(3).take(take), pa.array(child[j]), p.column(4).take(take), pa.array(d), pa.array(reach[i]), pa.array(inner[j])], ["vec_id", "node", "embedding", "to_node", "reach", "inner"])
 
-        front = asking.select("vec_id", "embedding", F.lit(0).cast("long").alias("node"), F.lit(float("nan")).alias("to_node"), "reach")
+        front = asking.select("vec_id", "embedding", _root().alias("node"), F.lit(float("nan")).alias("to_node"), "reach")
         stored = self.nodes.select(F.col("parent").alias("node"), F.lit(0).cast("long").alias("vec_id"), "embedding", "to_parent", "radius", F.col("node").alias("child"), "inner")
         cols = ["node", "salt", "kind", "vec_id", "embedding", "to_parent", "radius", "child", "inner", "to_node", "reach"]
         cells: list[DataFrame] = []
