@@ -92,7 +92,7 @@ def _level(units: DataFrame, name: str, prior: str) -> DataFrame:
     rho = units.agg((F.sum(spread) / F.when(F.sum(pairs) > 0, F.sum(pairs))).alias("r")).select(F.greatest(F.lit(RHO_MIN), F.least(F.lit(RHO_MAX), F.round(F.coalesce("r", F.lit(RHO_MAX)), 9))).alias("r"))
     m = 1 / F.col("r") - 1
     a, b = m * mean + good, m * (1 - mean) + n - good
-    units = units.crossJoin(F.broadcast(rho))  # one row
+    units = units.withColumn("r", rho.scalar())
     return units.withColumn(f"mean_{name}", a / (a + b)).withColumn(f"var_{name}", a * b / ((a + b) * (a + b) * (a + b + 1))).drop("r")
 
 
@@ -107,7 +107,7 @@ def hosts(pages: DataFrame, outcomes: DataFrame, rules: str = RULES) -> DataFram
     domains = own.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
     every = suffixes.agg(((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mean_all"))
-    suffixes = _level(suffixes.crossJoin(F.broadcast(every)), "suffix", "mean_all")
+    suffixes = _level(suffixes.withColumn("mean_all", every.scalar()), "suffix", "mean_all")
     domains = staged(_level(domains.join(suffixes.select("suffix", "mean_suffix"), "suffix"), "domain", "mean_suffix").select("domain", "mean_domain"), "domains")
     got = _level(own.join(domains, "domain"), "host", "mean_domain")
     return got.select("host", "domain", "suffix", F.col("n").cast("long").alias("n"), F.col("good").cast("long").alias("good"), F.col("mean_host").alias("mean"), F.sqrt("var_host").alias("deviation"))
