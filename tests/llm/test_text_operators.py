@@ -372,3 +372,72 @@ def test_isotonic_is_monotone_and_trees_learn():
     assert ((trees.margin(x) > 0) == y).mean() > 0.95
     knots, values = toxicity.isotonic(trees.margin(x), y)
     assert (np.diff(knots) >= 0).all() and (np.diff(values) >= 0).all()
+
+
+def key(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return range_hash(raw, np.array([0]), np.array([len(raw)]))[0]
+
+
+def slow_features(text, lexicon):
+    """From the definitions, for ASCII."""
+    words = [w for w in text.replace("\n", " ").split(" ") if w]
+    mark = lambda c: not c.isalnum()
+    leet = dict(zip("013457@$!|", "oieastasil"))
+    weight, you, odd_, hid = [], [], [], []
+    for w in words:
+        core = w.lower()
+        while core and mark(core[0]):
+            core = core[1:]
+        while core and mark(core[-1]):
+            core = core[:-1]
+        odd = any(mark(c) or c.isdigit() for c in core)
+        masked, bare = "".join(leet.get(c, c) for c in core), "".join(c for c in core if c.isalpha())
+        plain = lexicon.get(core, 0)
+        hidden = max(lexicon.get(masked, 0), lexicon.get(bare, 0) if bare else 0) if odd else 0
+        weight.append((plain, max(plain, hidden))), you.append(core in toxicity.SECOND_PERSON), odd_.append(odd), hid.append(hidden > 0)
+    n = max(1, len(words))
+    near = [max([1 / (1 + abs(i - j)) for j, y in enumerate(you) if y], default=0) if w[1] > 0 else 0 for i, w in enumerate(weight)]
+    low = text
+    twice = sum(low[i] == low[i - 1] == low[i - 2] and low[i].isalpha() for i in range(2, len(low)))
+    size = max(1, len(text))
+    return {0: sum(p > 0 for p, _ in weight) / n, 2: sum(b > 2.5 for _, b in weight) / n, 3: sum(b for _, b in weight) / n, 4: max([b for _, b in weight], default=0), 5: sum(p > 0 for p, _ in weight), 6: sum(b > 1.5 for _, b in weight), 7: sum(near) / n, 8: sum(you) / n, 9: sum(c.isupper() for c in text) / size, 10: sum(mark(c) and c not in " \n" for c in text) / size, 11: sum(hid) / n + sum(odd_) / n, 12: twice / size, 13: np.log1p(n)}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["you", "YOUR", "vile", "v1le", "v-i-l-e", "(vile)", "foe!", "f0e", "house", "3", "...", "x", "aaa", "Vile,", "a1b"]), max_size=12), min_size=1, max_size=4))
+def test_features_are_brute_force(texts):
+    words = {"vile": 3.0, "foe": 1.75}
+    keys = np.array([key(w) for w in words], np.uint64)
+    order = np.argsort(keys)
+    lexicon = toxicity.Lexicon(keys[order], np.array(list(words.values()), np.float32)[order])
+    texts = [" ".join(t) for t in texts]
+    for b in blocks(pa.array(texts)):
+        got = toxicity.features(b.data, b.offsets, lexicon)
+        for i, t in enumerate(texts[b.lo : b.hi]):
+            for j, v in slow_features(t, words).items():
+                assert abs(got[i, j] - v) < 1e-4, (t, j)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 1)), min_size=1, max_size=25))
+def test_isotonic_is_the_max_min_of_means(rows):
+    x, y = np.array([a for a, _ in rows], float), np.array([b for _, b in rows], float)
+    knots, values = toxicity.isotonic(x, y)
+    for v in np.unique(x):
+        want = max(min(y[(x >= a) & (x <= b)].mean() for b in np.unique(x) if b >= v) for a in np.unique(x) if a <= v)
+        assert abs(np.interp(v, knots, values) - want) < 1e-9
+
+
+def test_a_split_is_the_best_of_all():
+    r = np.random.default_rng(7)
+    for _ in range(10):
+        x, y = r.integers(0, 6, (60, 3)).astype(np.float32), (r.random(60) < 0.4).astype(float)
+        t = toxicity.Trees(rounds=1, depth=1, least=0.0).fit(x, y)
+        g, h = 1 / (1 + np.exp(-t.base)) - y, np.full(60, y.mean() * (1 - y.mean()))
+        gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + t.decay)
+        best = max(gain(x[:, j] <= c) + gain(x[:, j] > c) for j in range(3) for c in np.unique(x[:, j])[:-1])
+        feature, cut, value = t.trees[0]
+        left = np.searchsorted(t.edges[feature[0]], x[:, feature[0]]) <= cut[0]
+        assert abs(gain(left) + gain(~left) - best) < 1e-6
+        assert np.allclose(value[1:3], [-t.rate * g[m].sum() / (h[m].sum() + t.decay) for m in (left, ~left)])
