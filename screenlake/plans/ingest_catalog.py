@@ -347,14 +347,14 @@ def guard_content(spark, sf_dir):
     return cw.table(spark, sf_dir, "pages").select("page_id", feeds.is_wrong(body).alias("wrong"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url || '?full' END AS full, CASE WHEN page_id % 4 = 0 THEN url || '?day' WHEN page_id % 4 = 1 THEN url || '?lei2' END AS day FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url || '?full' END AS full_url, CASE WHEN page_id % 4 = 0 THEN url || '?day' WHEN page_id % 4 = 1 THEN url || '?lei2' END AS day_url FROM pages")
 def registry_file_urls(spark, sf_dir):
     p = cw.table(spark, sf_dir, "pages")
     url = lambda q: F.struct(F.struct(F.concat("url", F.lit(q)).alias("url")).alias("xml"))
     flat = F.to_json(F.struct(F.array(F.struct(url("?full").alias("full_file"), F.struct(url("?day").alias("LastDay")).alias("delta_files"))).alias("data")))
     deep = F.to_json(F.struct(F.array(F.struct(F.struct(F.struct(url("?lei2").alias("LastDay")).alias("delta_files")).alias("lei2"))).alias("data")))
     index = F.when(F.col("page_id") % 4 == 0, flat).when(F.col("page_id") % 4 == 1, deep).otherwise("{}")
-    return p.select("page_id", feeds.file_url(index).alias("full"), feeds.file_url(index, window="LastDay").alias("day"))
+    return p.select("page_id", feeds.file_url(index).alias("full_url"), feeds.file_url(index, window="LastDay").alias("day_url"))
 
 
 @query(r"SELECT conv_id, turn, nullif(trim(CASE WHEN turn % 2 = 0 THEN '  ' || text || ' ' ELSE '   ' END, ' '), '') AS said FROM conversations")
