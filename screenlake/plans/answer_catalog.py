@@ -111,6 +111,6 @@ def graph_flags(spark, sf_dir):
   FROM q JOIN top t USING (query_id) LEFT JOIN chosen c USING (query_id) LEFT JOIN graph g ON g.root = c.lei LEFT JOIN cut ON cut.root = c.lei"""
 )
 def vet_pipeline(spark, sf_dir):
-    """Every name vetted: its hits, the entity it resolves to, and that entity's graph. All have a strict hit and an entity."""
+    """Every name vetted: its hits, the entity it resolves to, and that entity's graph. The SQL is right only where each has a strict hit and a strictly resolved entity, which isn't so on every table."""
     got = records.vet(_asked(spark, sf_dir), cw.names(spark, sf_dir), cw.entities(spark, sf_dir), cw.relationships(spark, sf_dir))
     return got.select("query_id", "normalized_query", "mode_used", "hits", "top_designation", "top_match", "lei", "lei_match", "n_nodes", "flagged_nodes", "complete", "caveat")
