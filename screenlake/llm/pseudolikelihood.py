@@ -20,6 +20,9 @@ layouts of the same rows.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,23 +35,33 @@ from screenlake.llm.textcols import Block, blocks
 
 SIDE, WIDTH, HIDDEN = 5, 8, 24
 ROUNDS, BATCH, RATE = 3, 4096, 0.02
+#: Windows in one product with the softmax: BLAS multiplies small matrices without packing them.
+PART = 1024
+#: More columns than there are windows: rows a power of two apart would share places in the cache.
+APART = 40
+#: Symbols scored at a time.
+SCORED = 8192
 #: Stands outside of texts.
 OUTSIDE = 256
 
 
+@functools.cache
+def _layout(side: int, width: int, hidden: int) -> tuple[tuple[str, slice, tuple[int, ...]], ...]:
+    """(name, place in the vector, shape) of each array of weights."""
+    shapes = {"embedding": (width, 257), "inner": (hidden, 2 * side * width), "bias": (hidden,), "high": (16, hidden), "high_bias": (16,), "low": (16, 16, hidden), "low_bias": (16, 16)}
+    edge = list(itertools.accumulate((math.prod(s) for s in shapes.values()), initial=0))
+    return tuple((name, slice(lo, hi), shape) for (name, shape), lo, hi in zip(shapes.items(), edge, edge[1:]))
+
+
 class Network:
     """Weights as views of one vector. Arrays have one column for each token."""
 
     def __init__(self, theta: np.ndarray | None = None, side: int = SIDE, width: int = WIDTH, hidden: int = HIDDEN) -> None:
         self.side, self.width, self.hidden = side, width, hidden
-        shapes = {"embedding": (width, 257), "inner": (hidden, 2 * side * width), "bias": (hidden,), "high": (16, hidden), "high_bias": (16,), "low": (16, 16, hidden), "low_bias": (16, 16)}
-        size = sum(int(np.prod(s)) for s in shapes.values())
-        self.theta = np.zeros(size, np.float32) if theta is None else theta
-        at = 0
-        for name, shape in shapes.items():
-            n = int(np.prod(shape))
-            setattr(self, name, self.theta[at : at + n].reshape(shape))
-            at += n
+        layout = _layout(side, width, hidden)
+        self.theta = np.zeros(layout[-1][1].stop, np.float32) if theta is None else theta
+        for name, at, shape in layout:
+            setattr(self, name, self.theta[at].reshape(shape))
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 0, **shape: int) -> "Network":
@@ -63,79 +76,149 @@ class Network:
         return net
 
     def forward(self, piece: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Log-probabilities of the symbols of each row of ``piece`` but for ``side`` at either end, 0 for those outside; what ``gradient`` needs."""
-        side, width = self.side, self.width
-        rows, m = piece.shape[0], piece.shape[1] - 2 * side
-        n = rows * m
-        near = np.ascontiguousarray(self.embedding.T).take(piece, 0)
-        x = np.empty((rows, m, 2, side * width), np.float32)
-        step = (*near.strides[:2], near.strides[2])
-        for i in (0, 1):
-            x[:, :, i] = np.lib.stride_tricks.as_strided(near[:, i * (side + 1) :], (rows, m, side * width), step)
-        x = x.reshape(n, -1)
-        h = x @ self.inner.T
-        h += self.bias
-        np.maximum(h, 0, out=h)
-        token = piece[:, side : side + m].ravel()
-        real = token < OUTSIDE
-        token = token.astype(np.uint8)  # 0 for those outside
-        top, bottom = token >> 4, token & 15
-        z = self.high @ h.T
-        z += self.high_bias[:, None]
-        p, place, logp = _softmax(z, top)
-        order = np.argsort(top, kind="stable")
-        edge = np.concatenate(([0], np.cumsum(np.bincount(top, minlength=16))))
-        hs, zl = h.take(order, 0), np.empty((16, n), np.float32)
-        for v in np.flatnonzero(np.diff(edge)):
-            s = slice(edge[v], edge[v + 1])
-            zl[:, s] = self.low[v] @ hs[s].T
-            zl[:, s] += self.low_bias[v][:, None]
-        q, place_low, low = _softmax(zl, bottom[order])
-        logp[order] += low
-        return logp * real, (piece, x, h, hs, p, q, place, place_low, order, edge, real)
+        """Log-probabilities of the symbols of each row of ``piece`` but for ``side`` at either end, 0 for those outside; what ``gradient`` needs.
+
+        No window is copied. The rows stand one after another; windows that begin ``span`` symbols apart don't overlap, so
+        the embeddings themselves are the matrix of these windows, for each of ``span`` beginnings, with weights of 0 for the masked
+        symbol.
+        """
+        side, width, hidden, span = self.side, self.width, self.hidden, 2 * self.side + 1
+        symbol, (rows, long) = piece.ravel(), piece.shape
+        q = -(-len(symbol) // span)
+        near = np.zeros((span * (q + 1), width), np.float32)
+        near[: len(symbol)] = np.ascontiguousarray(self.embedding.T).take(symbol, 0)
+        windows = _every(near, span, q, span)
+        inner = np.zeros((hidden, span, width), np.float32)
+        inner[:, :side] = self.inner[:, : side * width].reshape(-1, side, width)
+        inner[:, side + 1 :] = self.inner[:, side * width :].reshape(-1, side, width)
+        every = np.empty((q, span, hidden + 1), np.float32)
+        np.matmul(windows, np.ascontiguousarray(inner.reshape(hidden, -1).T), out=every.transpose(1, 0, 2)[:, :, :-1])
+        every[:, :, -1] = 0
+        every = every.reshape(q, -1)
+        every += np.tile(np.append(self.bias, np.float32(1)), span)
+        np.maximum(every, 0, out=every)
+        inside = np.zeros((rows, long), bool)
+        np.less(piece[:, side : long - side], OUTSIDE, out=inside[:, side : long - side])
+        logp, kept = self._told(every.reshape(-1, hidden + 1), symbol, inside.ravel(), self._levels())
+        return logp.reshape(rows, long)[:, side : long - side].ravel(), (symbol, windows, inner, *kept)
+
+    def _levels(self) -> np.ndarray:
+        """Weights of both levels of the softmax for each high half, with the biases last."""
+        levels = np.empty((16, 32, self.hidden + 1), np.float32)
+        levels[:, :16, :-1], levels[:, :16, -1], levels[:, 16:, :-1], levels[:, 16:, -1] = self.high, self.high_bias, self.low, self.low_bias
+        return levels
+
+    def _told(self, every: np.ndarray, symbol: np.ndarray, inside: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Log-probabilities of those symbols that are ``inside``, 0 for others; what ``gradient`` needs.
+
+        The row of ``every`` that is ``side`` before a symbol has its hidden units, and a 1 for the biases. Symbols are ordered, so that both levels
+        of the softmax are one product for each high half.
+        """
+        order = symbol.astype(np.uint8).argsort(kind="stable")
+        at = order[inside[order]]
+        n, token = len(at), symbol.take(at)
+        edge = token.searchsorted(np.arange(0, 257, 16)).tolist()
+        h = every.take(at - self.side, 0)
+        parts = [(v, slice(lo, min(lo + PART, edge[v + 1]))) for v in range(16) for lo in range(edge[v], edge[v + 1], PART)]
+        z = np.empty((32, n + APART), np.float32)
+        z[:, n:] = 0
+        place = token.astype(np.int64)
+        place &= 15
+        place += 16
+        place *= n + APART
+        place += np.arange(n)
+        own = np.empty((2, n), np.float32)
+        both = z.reshape(2, 16, -1)
+        for careful in (False, True):
+            for v, s in parts:
+                np.matmul(levels[v], h[s].T, out=z[:, s])
+                own[0, s] = z[v, s]
+            z.reshape(-1).take(place, out=own[1], mode="clip")
+            if careful:
+                top = both.max(1)
+                both -= top[:, None]
+                own -= top[:, :n]
+            with np.errstate(over="ignore"):
+                np.exp(z, out=z)
+                total = both.sum(1)
+            if 1e-30 < total.min() and total.max() < 1e30:  # else exponentials left the range of their type
+                break
+            z[:, n:] = 0
+        own -= np.log(total[:, :n])
+        logp = np.zeros(len(symbol), np.float32)
+        logp[at] = own[0] + own[1]
+        return logp, (order, at, h, parts, levels, z, total, place)
 
     def gradient(self, kept: tuple) -> np.ndarray:
         """Of the mean negative log-probability of the real tokens, as one vector. What ``forward`` kept is used up."""
-        piece, x, h, hs, p, q, place, place_low, order, edge, real = kept
-        out = Network(np.zeros_like(self.theta), self.side, self.width, self.hidden)
-        n = len(order)
-        share = real.astype(np.float32) / np.float32(max(1, int(real.sum())))
-        for v, at, own in ((p, place, share), (q, place_low, share[order])):
-            v /= v.sum(0)
-            v.reshape(-1)[at] -= 1
-            v *= own
-        out.high[:], out.high_bias[:] = p @ h, p.sum(1)
-        back = np.empty_like(hs)
-        for v in np.flatnonzero(np.diff(edge)):
-            s = slice(edge[v], edge[v + 1])
-            out.low[v], out.low_bias[v] = q[:, s] @ hs[s], q[:, s].sum(1)
-            back[s] = q[:, s].T @ self.low[v]
-        d = np.empty_like(back)
-        d[order] = back
-        d += p.T @ self.high
-        d *= h > 0
-        out.inner[:], out.bias[:] = d.T @ x, d.sum(0)
-        rows, m = piece.shape[0], piece.shape[1] - 2 * self.side
-        dx = (self.inner.T @ d.T).reshape(2 * self.side, self.width, rows, m)
-        near = np.zeros((self.width, *piece.shape), np.float32)
-        for i in range(2 * self.side):
-            at = i + (i >= self.side)
-            near[:, :, at : at + m] += dx[i]
-        flat = piece.ravel()
-        for w in range(self.width):
-            out.embedding[w] = np.bincount(flat, near[w].ravel(), 257)
+        symbol, windows, inner, order, at, h, parts, levels, z, total, place = kept
+        side, width, hidden, (span, q, _) = self.side, self.width, self.hidden, windows.shape
+        out = Network(np.zeros_like(self.theta), side, width, hidden)
+        n = len(at)
+        share = np.float32(1 / max(1, n))
+        both = z.reshape(2, 16, -1)
+        both *= (share / total)[:, None]
+        z.reshape(-1)[place] -= share
+        slopes = np.zeros_like(levels)
+        back = np.empty((n + 1, hidden + 1), np.float32)
+        back[n] = 0  # of windows that count for nothing
+        for v, s in parts:
+            zs = z[:, s]
+            zs[v] -= share
+            slopes[v] += zs @ h[s]
+            np.matmul(zs.T, levels[v], out=back[s])
+        high = slopes[:, :16].sum(0)
+        out.high[:], out.high_bias[:], out.low[:], out.low_bias[:] = high[:, :-1], high[:, -1], slopes[:, 16:, :-1], slopes[:, 16:, -1]
+        back[:n] *= h > 0
+        out.bias[:] = (np.ones(n, np.float32) @ back[:n])[:-1]
+        # Row i + 2 * side: what comes back to the window that begins at symbol i
+        row = np.full(span * (q + 1), n)
+        row[at + side] = np.arange(n)
+        back = np.ascontiguousarray(back.take(row, 0)[:, :-1])
+        g = np.matmul(_every(back[2 * side :], span, q).transpose(0, 2, 1), windows).sum(0).reshape(hidden, span, width)
+        out.inner[:, : side * width], out.inner[:, side * width :] = g[:, :side].reshape(hidden, -1), g[:, side + 1 :].reshape(hidden, -1)
+        # Symbol i is in the windows that begin from i - 2 * side to i, and further and further to the front of them
+        near = np.empty((q, span, width), np.float32)
+        np.matmul(_every(back, span, q, span), np.ascontiguousarray(inner.transpose(1, 0, 2)[::-1]).reshape(span * hidden, width), out=near.transpose(1, 0, 2))
+        near = near.reshape(-1, width)[: len(symbol)]
+        outside = symbol == OUTSIDE
+        out.embedding[:, OUTSIDE] = near[outside].sum(0)
+        near[outside] = 0  # as ``order`` has them among those of byte 0
+        count = np.bincount(symbol & 255, minlength=256)
+        some = np.flatnonzero(count)
+        out.embedding[:, some] = np.add.reduceat(near.take(order, 0), (np.cumsum(count) - count)[some], 0).T
         return out.theta
 
-
-def _softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(what is in proportion to the probabilities, the place of row ``at`` of each column, its log-probability)."""
-    z -= z.max(0)
-    place = at.astype(np.int64)
-    place *= z.shape[1]
-    place += np.arange(z.shape[1])
-    own = z.reshape(-1).take(place)
-    np.exp(z, out=z)
-    return z, place, own - np.log(z.sum(0))
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(what each pair of symbols around a masked one adds to the hidden units, with the biases at the first; levels). For many texts with
+        the same weights: ``forward`` goes without."""
+        side, width = self.side, self.width
+        one = np.zeros((2 * side, 257, self.hidden + 1), np.float32)
+        for k in range(2 * side):
+            one[k, :, :-1] = self.embedding.T @ self.inner[:, k * width : (k + 1) * width].T
+        one[0] += np.append(self.bias, np.float32(1))
+        return (one[::2, :, None] + one[1::2, None]).reshape(side, 257 * 257, -1), self._levels()
+
+    def tell(self, x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Log-probabilities of the symbols of ``x`` but for ``side`` at either end."""
+        side, (table, levels) = self.side, pairs
+        n = len(x) - 2 * side
+        place = [k + (k >= side) for k in range(2 * side)]
+        code = {gap: x[:-gap] * np.int64(257) + x[gap:] for gap in {b - a for a, b in zip(place[::2], place[1::2])}}
+        every = None
+        for k, (a, b) in enumerate(zip(place[::2], place[1::2])):
+            more = table[k].take(code[b - a][a : a + n], 0)
+            every = more if every is None else np.add(every, more, out=every)
+        np.maximum(every, 0, out=every)
+        inside = x < OUTSIDE
+        inside[:side] = inside[side + n :] = False
+        return self._told(every, x, inside, levels)[0][side : side + n]
+
+
+def _every(x: np.ndarray, times: int, rows: int, span: int = 1) -> np.ndarray:
+    """For each of ``times`` beginnings, rows ``times`` apart of ``span`` rows of ``x`` each, one after another. A view."""
+    step = x.strides[0]
+    return np.ndarray((times, rows, span * x.shape[1]), x.dtype, x, 0, (step, times * step, x.itemsize))
 
 
 class Adam:
@@ -150,8 +233,16 @@ class Adam:
         g = self.net.gradient(kept)
         self.t += 1
         self.m += 0.1 * (g - self.m)
-        self.v += 0.001 * (g * g - self.v)
-        self.net.theta -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+        g *= g
+        g -= self.v
+        g *= 0.001
+        self.v += g
+        np.divide(self.v, 1 - 0.999**self.t, out=g)
+        np.sqrt(g, out=g)
+        g += 1e-8
+        np.divide(self.m, g, out=g)
+        g *= self.rate / (1 - 0.9**self.t)
+        self.net.theta -= g
 
 
 def symbols(b: Block, side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,13 +312,14 @@ def fit(docs: DataFrame, *, rounds: int = ROUNDS, batch: int = BATCH, rate: floa
     return net
 
 
-def log_likelihoods(net: Network, b: Block) -> np.ndarray:
+def log_likelihoods(net: Network, b: Block, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The score of each text of a block."""
+    pairs = pairs or net.pairs()
     x, start = symbols(b, net.side)
     out = np.zeros(len(x) + 1)
-    for lo in range(net.side, len(x) - net.side, BATCH):
-        hi = min(lo + BATCH, len(x) - net.side)
-        out[lo:hi] = net.forward(x[None, lo - net.side : hi + net.side])[0]
+    for lo in range(net.side, len(x) - net.side, SCORED):
+        hi = min(lo + SCORED, len(x) - net.side)
+        out[lo:hi] = net.tell(x[lo - net.side : hi + net.side], pairs)
     total = np.concatenate(([0.0], np.cumsum(out)))
     return total[start + np.diff(b.offsets)] - total[start]
 
@@ -241,10 +333,11 @@ def score(docs: DataFrame, **how: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(theta, *shape)
+        pairs = net.pairs()
         for batch in batches:
             null = batch.column(1).is_null()
             for b in blocks(batch.column(1)):
-                total, n = log_likelihoods(net, b), np.diff(b.offsets)
+                total, n = log_likelihoods(net, b, pairs), np.diff(b.offsets)
                 no = null.slice(b.lo, b.hi - b.lo).to_numpy(zero_copy_only=False)
                 cols = [batch.column(0).slice(b.lo, b.hi - b.lo), pa.array(n, pa.int64(), mask=no), pa.array(np.round(total, 6), mask=no), pa.array(np.round(total / np.maximum(n, 1), 6), mask=no | (n == 0))]
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([batch.schema.field(0), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("mean_log_likelihood", pa.float64())]))

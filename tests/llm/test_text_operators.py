@@ -275,6 +275,34 @@ def test_gradient_is_the_slope():
         assert abs((up - down) / 2e-3 - g[at]) < 0.03 * abs(g[at]) + 2e-4
 
 
+def test_windows_are_not_copied():
+    """Training goes without a matrix of 4,096 windows of ten embeddings and without one of what comes back to them, of 1.3 MB each."""
+    import tracemalloc
+
+    net = some_network(4)
+    piece = np.random.default_rng(2).choice([10, 32, 65, 97, 101, 116], (64, 64 + 2 * net.side)).astype(np.uint16)
+    tracemalloc.start()
+    try:
+        net.gradient(net.forward(piece)[1])
+        assert tracemalloc.get_traced_memory()[1] < 3.2e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("scale", [0.4, 4.0, 40.0])
+def test_pairs_of_symbols_score_as_windows_do(scale):
+    """Also where exponentials of logits leave the range of their type, and for any number of symbols on either side."""
+    for shape in ({}, {"side": 1, "width": 1, "hidden": 1}, {"side": 2, "width": 3, "hidden": 5}):
+        net = some_network(5, **shape)
+        net.theta *= scale / 0.4
+        pairs = net.pairs()
+        for n in (1, 7, 300):
+            x = np.random.default_rng(n).choice([0, 10, 97, 101, 195, 255, pseudolikelihood.OUTSIDE], n + 2 * net.side).astype(np.uint16)
+            got, want = net.tell(x, pairs), net.forward(x[None])[0]
+            assert np.isfinite(want).all() and np.allclose(got, want, rtol=1e-4, atol=1e-3 * max(1.0, scale**2))
+            assert np.isfinite(net.gradient(net.forward(x[None])[1])).all()
+
+
 def test_every_window_is_trained_on():
     r = random.Random(3)
     texts = ["".join(r.choices("abc", k=r.randint(0, 90))) for _ in range(40)]
