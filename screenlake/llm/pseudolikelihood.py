@@ -9,7 +9,8 @@ Training is distributed, in numpy, and every byte of the corpus is trained on: d
 of their text; in a round each task starts from the common weights and takes Adam steps over all windows of its own
 documents of that round, ``batch`` at a time, drawn from all over a block of texts; the weights are then averaged, each
 task's by its bytes, as sums by weight in a shuffle. So the steps, and what is gathered, grow with the corpus, and only
-the averages, of a fixed number, come to the driver. The biases start from the counts of all bytes of all texts.
+the averages, of a fixed number, come to the driver. The biases start from the counts of all bytes of all texts. For scores each task has
+what all pairs of symbols add to the hidden units, 33 MB.
 
 Defined results: a null text has null scores; an empty text has 0 tokens, the sum 0 and no mean; outside a text stands a
 symbol of its own; a corpus without bytes has a network of equal probabilities; repeated rows are trained on and scored
