@@ -36,8 +36,8 @@ from screenlake.llm.textcols import Block, blocks
 
 SIDE, WIDTH, HIDDEN = 5, 8, 24
 ROUNDS, BATCH, RATE = 3, 4096, 0.02
-#: Windows in one product with the softmax: BLAS multiplies small matrices without packing them.
-PART = 1024
+#: Windows in one row of a product with the hidden layer: wider products are faster, but have more weights of 0.
+NEXT = 3
 #: More columns than there are windows: rows a power of two apart would share places in the cache.
 APART = 40
 #: Symbols scored at a time.
@@ -76,32 +76,53 @@ class Network:
         net.low_bias[:] = np.log(share / share.sum(1, keepdims=True))
         return net
 
-    def forward(self, piece: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Log-probabilities of the symbols of each row of ``piece`` but for ``side`` at either end, 0 for those outside; what ``gradient`` needs.
+    def forward(self, piece: np.ndarray, told: bool = True) -> tuple[np.ndarray | None, tuple]:
+        """Log-probabilities of the symbols of each row of ``piece`` but for ``side`` at either end, 0 for those outside, if ``told``; what
+        ``gradient`` needs.
 
-        No window is copied. The rows stand one after another; windows that begin ``span`` symbols apart don't overlap, so
-        the embeddings themselves are the matrix of these windows, for each of ``span`` beginnings, with weights of 0 for the masked
-        symbol.
+        No window is copied. The rows stand one after another; ``NEXT`` windows in a row are one row of a product, with weights of 0 for the symbols
+        that are masked or in other windows; every ``step`` symbols such rows don't overlap, so the embeddings themselves are the matrix of these.
         """
         side, width, hidden, span = self.side, self.width, self.hidden, 2 * self.side + 1
         symbol, (rows, long) = piece.ravel(), piece.shape
-        q = -(-len(symbol) // span)
-        near = np.zeros((span * (q + 1), width), np.float32)
+        ahead = NEXT + span - 1
+        step = -(-ahead // NEXT) * NEXT
+        q = -(-len(symbol) // step)
+        near = np.zeros((step * (q + 1), width), np.float32)
         near[: len(symbol)] = np.ascontiguousarray(self.embedding.T).take(symbol, 0)
-        windows = _every(near, span, q, span)
-        inner = np.zeros((hidden, span, width), np.float32)
-        inner[:, :side] = self.inner[:, : side * width].reshape(-1, side, width)
-        inner[:, side + 1 :] = self.inner[:, side * width :].reshape(-1, side, width)
-        every = np.empty((q, span, hidden + 1), np.float32)
-        np.matmul(windows, np.ascontiguousarray(inner.reshape(hidden, -1).T), out=every.transpose(1, 0, 2)[:, :, :-1])
-        every[:, :, -1] = 0
+        windows = _windows(near, NEXT, step, q, ahead)
+        taps, inner = self._taps(), np.zeros((ahead, width, NEXT, hidden), np.float32)
+        for i in range(NEXT):
+            inner[i : i + span, :, i] = taps
+        inner = inner.reshape(ahead * width, -1)
+        every = np.empty((q, step // NEXT, NEXT * hidden), np.float32)
+        np.matmul(windows, inner, out=every.transpose(1, 0, 2))
         every = every.reshape(q, -1)
-        every += np.tile(np.append(self.bias, np.float32(1)), span)
-        np.maximum(every, 0, out=every)
+        every += np.tile(self.bias, step)
+        np.maximum(every, np.zeros(step * hidden, np.float32), out=every)
         inside = np.zeros((rows, long), bool)
         np.less(piece[:, side : long - side], OUTSIDE, out=inside[:, side : long - side])
-        logp, kept = self._told(every.reshape(-1, hidden + 1), symbol, inside.ravel(), self._levels())
-        return logp.reshape(rows, long)[:, side : long - side].ravel(), (symbol, windows, inner, *kept)
+        order = symbol.argsort(kind="stable")
+        at = order[inside.ravel()[order]]
+        h = np.empty((len(at), hidden + 1), np.float32)
+        h[:, :-1] = units = every.reshape(-1, hidden).take(at - side, 0)
+        h[:, -1] = 1
+        del every
+        own, kept = self._told(h, symbol.take(at), self._levels(), told)
+        logp = None
+        if told:
+            logp = np.zeros(len(symbol), np.float32)
+            logp[at] = own
+            logp = logp.reshape(rows, long)[:, side : long - side].ravel()
+        return logp, (symbol, windows, inner, order, at, units, *kept)
+
+    def _taps(self) -> np.ndarray:
+        """Weights by symbol of a window, with 0 for the masked one."""
+        side, width, hidden = self.side, self.width, self.hidden
+        taps = np.zeros((2 * side + 1, width, hidden), np.float32)
+        by = self.inner.T.reshape(2 * side, width, hidden)
+        taps[:side], taps[side + 1 :] = by[:side], by[side:]
+        return taps
 
     def _levels(self) -> np.ndarray:
         """Weights of both levels of the softmax for each high half, with the biases last."""
@@ -109,18 +130,14 @@ class Network:
         levels[:, :16, :-1], levels[:, :16, -1], levels[:, 16:, :-1], levels[:, 16:, -1] = self.high, self.high_bias, self.low, self.low_bias
         return levels
 
-    def _told(self, every: np.ndarray, symbol: np.ndarray, inside: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Log-probabilities of those symbols that are ``inside``, 0 for others; what ``gradient`` needs.
+    def _told(self, h: np.ndarray, token: np.ndarray, levels: np.ndarray, told: bool = True) -> tuple[np.ndarray | None, tuple]:
+        """Log-probabilities of the symbols ``token``, which are in order, if ``told``; what ``gradient`` needs.
 
-        The row of ``every`` that is ``side`` before a symbol has its hidden units, and a 1 for the biases. Symbols are ordered, so that both levels
-        of the softmax are one product for each high half.
+        ``h`` has the hidden units of each, and a 1 for the biases. As symbols are in order, both levels of the softmax are one product for each high half.
         """
-        order = symbol.astype(np.uint8).argsort(kind="stable")
-        at = order[inside[order]]
-        n, token = len(at), symbol.take(at)
-        edge = token.searchsorted(np.arange(0, 257, 16)).tolist()
-        h = every.take(at - self.side, 0)
-        parts = [(v, slice(lo, min(lo + PART, edge[v + 1]))) for v in range(16) for lo in range(edge[v], edge[v + 1], PART)]
+        n = len(h)
+        edge = token.searchsorted(np.arange(0, 257, 16, dtype=token.dtype)).tolist()
+        parts = [(v, slice(edge[v], edge[v + 1])) for v in range(16) if edge[v] < edge[v + 1]]
         z = np.empty((32, n + APART), np.float32)
         z[:, n:] = 0
         place = token.astype(np.int64)
@@ -128,66 +145,70 @@ class Network:
         place += 16
         place *= n + APART
         place += np.arange(n)
-        own = np.empty((2, n), np.float32)
+        own = np.empty((2, n), np.float32) if told else None
         both = z.reshape(2, 16, -1)
         for careful in (False, True):
             for v, s in parts:
-                np.matmul(levels[v], h[s].T, out=z[:, s])
-                own[0, s] = z[v, s]
-            z.reshape(-1).take(place, out=own[1], mode="clip")
+                zs = z[:, s]
+                np.matmul(levels[v], h[s].T, out=zs)
+                if told:
+                    own[0, s] = zs[v]
+            if told:
+                z.reshape(-1).take(place, out=own[1], mode="clip")
             if careful:
                 top = both.max(1)
                 both -= top[:, None]
-                own -= top[:, :n]
+                if told:
+                    own -= top[:, :n]
             with np.errstate(over="ignore"):
                 np.exp(z, out=z)
                 total = both.sum(1)
             if 1e-30 < total.min() and total.max() < 1e30:  # else exponentials left the range of their type
                 break
             z[:, n:] = 0
-        own -= np.log(total[:, :n])
-        logp = np.zeros(len(symbol), np.float32)
-        logp[at] = own[0] + own[1]
-        return logp, (order, at, h, parts, levels, z, total, place)
+        if told:
+            own -= np.log(total[:, :n])
+            own = own[0] + own[1]
+        return own, (h, parts, levels, z, total, place)
 
     def gradient(self, kept: tuple) -> np.ndarray:
         """Of the mean negative log-probability of the real tokens, as one vector. What ``forward`` kept is used up."""
-        symbol, windows, inner, order, at, h, parts, levels, z, total, place = kept
-        side, width, hidden, (span, q, _) = self.side, self.width, self.hidden, windows.shape
+        symbol, windows, inner, order, at, units, h, parts, levels, z, total, place = kept
+        side, width, hidden, span, (phases, q, _) = self.side, self.width, self.hidden, 2 * self.side + 1, windows.shape
         out = Network(np.zeros_like(self.theta), side, width, hidden)
-        n = len(at)
+        n, step, ahead = len(at), phases * NEXT, NEXT + span - 1
         share = np.float32(1 / max(1, n))
         both = z.reshape(2, 16, -1)
         both *= (share / total)[:, None]
         z.reshape(-1)[place] -= share
-        slopes = np.zeros_like(levels)
-        back = np.empty((n + 1, hidden + 1), np.float32)
+        slopes, weights = np.zeros_like(levels), np.ascontiguousarray(levels[:, :, :-1])
+        back = np.empty((n + 1, hidden), np.float32)
         back[n] = 0  # of windows that count for nothing
         for v, s in parts:
             zs = z[:, s]
             zs[v] -= share
-            slopes[v] += zs @ h[s]
-            np.matmul(zs.T, levels[v], out=back[s])
+            np.matmul(zs, h[s], out=slopes[v])
+            np.matmul(zs.T, weights[v], out=back[s])
         high = slopes[:, :16].sum(0)
         out.high[:], out.high_bias[:], out.low[:], out.low_bias[:] = high[:, :-1], high[:, -1], slopes[:, 16:, :-1], slopes[:, 16:, -1]
-        back[:n] *= h > 0
-        out.bias[:] = (np.ones(n, np.float32) @ back[:n])[:-1]
-        # Row i + 2 * side: what comes back to the window that begins at symbol i
-        row = np.full(span * (q + 1), n)
-        row[at + side] = np.arange(n)
-        back = np.ascontiguousarray(back.take(row, 0)[:, :-1])
-        g = np.matmul(_every(back[2 * side :], span, q).transpose(0, 2, 1), windows).sum(0).reshape(hidden, span, width)
-        out.inner[:, : side * width], out.inner[:, side * width :] = g[:, :side].reshape(hidden, -1), g[:, side + 1 :].reshape(hidden, -1)
-        # Symbol i is in the windows that begin from i - 2 * side to i, and further and further to the front of them
-        near = np.empty((q, span, width), np.float32)
-        np.matmul(_every(back, span, q, span), np.ascontiguousarray(inner.transpose(1, 0, 2)[::-1]).reshape(span * hidden, width), out=near.transpose(1, 0, 2))
-        near = near.reshape(-1, width)[: len(symbol)]
-        outside = symbol == OUTSIDE
-        out.embedding[:, OUTSIDE] = near[outside].sum(0)
-        near[outside] = 0  # as ``order`` has them among those of byte 0
-        count = np.bincount(symbol & 255, minlength=256)
+        back[:n] *= units > 0
+        out.bias[:] = np.ones(n, np.float32) @ back[:n]
+        # Row i: what comes back to the window that begins at symbol i
+        row = np.full(step * q, n)
+        row[at - side] = np.arange(n)
+        back = back.take(row, 0).reshape(q, phases, NEXT * hidden).transpose(1, 0, 2)
+        g = np.matmul(back.transpose(0, 2, 1), windows).sum(0).reshape(NEXT, hidden, ahead * width)
+        g = sum(g[i, :, i * width : (i + span) * width] for i in range(NEXT))
+        out.inner[:, : side * width], out.inner[:, side * width :] = g[:, : side * width], g[:, (side + 1) * width :]
+        # What comes back to the symbols of these windows, and its sums by symbol
+        near, turned = np.zeros((q + 1) * step * width, np.float32), np.ascontiguousarray(inner.T)
+        for i in range(phases):
+            first = i * NEXT * width
+            near[first : first + q * step * width].reshape(q, -1)[:, : ahead * width] += back[i] @ turned
+        near = np.ascontiguousarray(near.reshape(-1, width).take(order, 0).T)
+        count = np.bincount(symbol, minlength=257)
         some = np.flatnonzero(count)
-        out.embedding[:, some] = np.add.reduceat(near.take(order, 0), (np.cumsum(count) - count)[some], 0).T
+        out.embedding[:, some] = np.add.reduceat(near, (np.cumsum(count) - count)[some], 1)
         return out.theta
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -206,20 +227,25 @@ class Network:
         n = len(x) - 2 * side
         place = [k + (k >= side) for k in range(2 * side)]
         code = {gap: x[:-gap] * np.int64(257) + x[gap:] for gap in {b - a for a, b in zip(place[::2], place[1::2])}}
-        every = None
+        every = more = None
         for k, (a, b) in enumerate(zip(place[::2], place[1::2])):
-            more = table[k].take(code[b - a][a : a + n], 0)
-            every = more if every is None else np.add(every, more, out=every)
-        np.maximum(every, 0, out=every)
-        inside = x < OUTSIDE
-        inside[:side] = inside[side + n :] = False
-        return self._told(every, x, inside, levels)[0][side : side + n]
+            if every is None:
+                every = table[k].take(code[b - a][a : a + n], 0)
+                more = np.empty_like(every)
+            else:
+                every += table[k].take(code[b - a][a : a + n], 0, out=more, mode="clip")
+        np.maximum(every, np.zeros_like(every), out=every)
+        token = x[side : side + n]
+        order = token.argsort(kind="stable")[: np.count_nonzero(token < OUTSIDE)]
+        out = np.zeros(n, np.float32)
+        out[order] = self._told(every.take(order, 0), token.take(order), levels)[0]
+        return out
 
 
-def _every(x: np.ndarray, times: int, rows: int, span: int = 1) -> np.ndarray:
-    """For each of ``times`` beginnings, rows ``times`` apart of ``span`` rows of ``x`` each, one after another. A view."""
-    step = x.strides[0]
-    return np.ndarray((times, rows, span * x.shape[1]), x.dtype, x, 0, (step, times * step, x.itemsize))
+def _windows(x: np.ndarray, apart: int, step: int, rows: int, long: int) -> np.ndarray:
+    """For each beginning, ``apart`` from the last and before ``step``, ``rows`` rows of ``long`` rows of ``x``, ``step`` apart. A view."""
+    one = x.strides[0]
+    return np.ndarray((step // apart, rows, long * x.shape[1]), x.dtype, x, 0, (apart * one, step * one, x.itemsize))
 
 
 class Adam:
@@ -230,7 +256,7 @@ class Adam:
         self.m, self.v = np.zeros_like(net.theta), np.zeros_like(net.theta)
 
     def step(self, piece: np.ndarray) -> None:
-        _, kept = self.net.forward(piece)
+        _, kept = self.net.forward(piece, told=False)
         g = self.net.gradient(kept)
         self.t += 1
         self.m += 0.1 * (g - self.m)

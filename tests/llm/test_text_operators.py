@@ -303,6 +303,46 @@ def test_pairs_of_symbols_score_as_windows_do(scale):
             assert np.isfinite(net.gradient(net.forward(x[None])[1])).all()
 
 
+def slow_slopes(net, piece):
+    """Of the mean negative log-probability, window by window."""
+    out = pseudolikelihood.Network(np.zeros(len(net.theta)), net.side, net.width, net.hidden)
+    inner, n = net.inner.astype(float), 0
+    for line in piece.astype(int):
+        for t in range(net.side, len(line) - net.side):
+            if line[t] == pseudolikelihood.OUTSIDE:
+                continue
+            n += 1
+            around = np.concatenate((line[t - net.side : t], line[t + 1 : t + 1 + net.side]))
+            x = net.embedding[:, around].astype(float).T.ravel()
+            h = np.maximum(inner @ x + net.bias, 0)
+            back = np.zeros(net.hidden)
+            u, v = line[t] >> 4, line[t] & 15
+            for w, b, dw, db, own in ((net.high, net.high_bias, out.high, out.high_bias, u), (net.low[u], net.low_bias[u], out.low[u], out.low_bias[u], v)):
+                z = w.astype(float) @ h + b
+                d = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+                d[own] -= 1
+                dw += np.outer(d, h)
+                db += d
+                back += w.T @ d
+            back *= h > 0
+            out.bias += back
+            out.inner += np.outer(back, x)
+            np.add.at(out.embedding.T, around, (inner.T @ back).reshape(-1, net.width))
+    return out.theta / max(1, n)
+
+
+@pytest.mark.parametrize("shape", [{}, {"side": 1, "width": 1, "hidden": 1}, {"side": 2, "width": 3, "hidden": 5}])
+def test_training_has_slopes_without_log_probabilities(shape):
+    """For any number of windows and rows, the slopes are those of single windows, and log-probabilities, which a step doesn't need, aren't made."""
+    net = some_network(6, **shape)
+    for rows, windows in ((1, 1), (1, 2), (2, 3), (3, 4), (1, 31), (5, 13)):
+        piece = np.random.default_rng(windows).choice([0, 10, 97, 101, 195, 255, pseudolikelihood.OUTSIDE], (rows, windows + 2 * net.side)).astype(np.uint16)
+        logp, kept = net.forward(piece, told=False)
+        assert logp is None and np.allclose(net.gradient(kept), slow_slopes(net, piece), rtol=1e-3, atol=1e-5)
+    nothing = np.full((2, 3 + 2 * net.side), pseudolikelihood.OUTSIDE, np.uint16)
+    assert not net.gradient(net.forward(nothing, told=False)[1]).any()
+
+
 def test_every_window_is_trained_on():
     r = random.Random(3)
     texts = ["".join(r.choices("abc", k=r.randint(0, 90))) for _ in range(40)]
