@@ -52,11 +52,15 @@ FIRST, LAST = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
 _SDN_TYPES = ("Individual", "ENTITY", " vessel ", "Aircraft", "Other")
 _TYPES = ("person", "organization", "vessel", "aircraft", "unknown")
 
+def _parts(spark, sf_dir) -> DataFrame:
+    return cw.spread(cw.table(spark, sf_dir, "part"), "p_partkey")
+
+
 # The standard feed
 
 
 def _standard(spark, sf_dir) -> lists.Reader:
-    p = cw.table(spark, sf_dir, "part")
+    p = _parts(spark, sf_dir)
     first, last = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
     entry = _el(
         "sdnEntry", _if(_k() % 11 != 0, _el("uid", F.lit(" "), _k().cast("string"))), _if(_k() % 3 != 0, _el("firstName", first)), _if(_k() % 7 != 0, _el("lastName", last)), _el("sdnType", _at(_SDN_TYPES, F.col("p_size"))),
@@ -97,7 +101,7 @@ _LINKS = ("A.K.A.", "F.K.A.", "N.K.A.")
 
 
 def _advanced(spark, sf_dir) -> lists.Reader:
-    p = cw.table(spark, sf_dir, "part")
+    p = _parts(spark, sf_dir)
     labels = lambda tag, values: "".join(f'<{tag} ID="{i}">{v}</{tag}>' for i, v in enumerate(values))
     kinds = "".join(f'<PartySubType ID="{i}" PartyTypeID="{a}">{b}</PartySubType>' for i, (a, b) in enumerate(_PARTIES))
     refs = f"<ReferenceValueSets><AliasTypeValues>{labels('AliasType', _LINKS)}</AliasTypeValues><FeatureTypeValues>{labels('FeatureType', ('Birthdate', 'Place of Birth', 'Height'))}</FeatureTypeValues><PartySubTypeValues>{kinds}</PartySubTypeValues></ReferenceValueSets>"
@@ -158,7 +162,7 @@ def _eu(spark, sf_dir) -> lists.Reader:
         F.lit("<nameAlias"), attr("wholeName", F.when(_k() % 5 == 0, F.lit("  ")).otherwise(F.col("p_name"))), attr("firstName", F.col("p_type")), attr("lastName", F.col("p_brand")), attr("strong", F.lit("true")), F.lit("/><nameAlias"), attr("wholeName", F.col("p_brand")), attr("strong", F.when(_k() % 2 == 0, "false").otherwise("true")), F.lit("/>"),
         F.lit("<birthdate"), attr("birthdate", F.lit("1937-04-28")), F.lit("/><citizenship"), attr("countryDescription", F.col("p_type")), F.lit("/></sanctionEntity>"),
     )
-    return lists.column(cw.table(spark, sf_dir, "part").select(_el("export", x).alias("x")), "x")
+    return lists.column(_parts(spark, sf_dir).select(_el("export", x).alias("x")), "x")
 
 
 @query(
@@ -178,7 +182,7 @@ def _uk(spark, sf_dir) -> lists.Reader:
         "Designation", _if(_k() % 3 == 0, _el("UniqueID", F.concat(F.lit("U"), _k()))), _if(_k() % 3 != 0, _el("OFSIGroupID", _k().cast("string"))), _if(_k() % 2 == 0, _el("DateDesignated", "01/02/2003")), _el("LastUpdated", "2020"), _el("RegimeName", F.col("p_type")), _el("IndividualEntityShip", _at(("Individual", "Entity", "Ship", "Organisation", "x"), F.col("p_size"))),
         F.when(_k() % 7 == 0, _el("Names", _el("WholeName", F.col("p_brand")))).otherwise(_el("Names", listed, other)), _el("Nationalities", _el("Nationality", "A"), _el("Nationality", " "), _el("Nationality", "B")), _el("OtherInformation", F.col("p_brand")),
     )
-    return lists.column(cw.table(spark, sf_dir, "part").select(_el("Designations", x).alias("x")), "x")
+    return lists.column(_parts(spark, sf_dir).select(_el("Designations", x).alias("x")), "x")
 
 
 @query(
@@ -196,7 +200,7 @@ def _un(spark, sf_dir) -> lists.Reader:
     firm = F.concat(_el("FIRST_NAME", F.when(_k() % 9 == 0, F.lit("bad �")).otherwise(F.col("p_name"))), _el("ENTITY_ALIAS", _el("QUALITY", "a.k.a."), _el("ALIAS_NAME", F.col("p_brand"))))
     shared = F.concat(_if(_k() % 11 != 0, _el("DATAID", _k().cast("string"))), _el("UN_LIST_TYPE", F.col("p_type")), _el("LISTED_ON", "2012-12-31"), _el("NATIONALITY", _el("VALUE", "Land")), _el("COMMENTS1", F.col("p_brand")))
     x = F.when(_k() % 2 == 0, _el("INDIVIDUAL", shared, person)).otherwise(_el("ENTITY", shared, firm))
-    return lists.column(cw.table(spark, sf_dir, "part").select(_el("CONSOLIDATED_LIST", x).alias("x")), "x")
+    return lists.column(_parts(spark, sf_dir).select(_el("CONSOLIDATED_LIST", x).alias("x")), "x")
 
 
 _UN_FINE = "p_partkey % 11 <> 0 AND NOT (p_partkey % 2 = 1 AND p_partkey % 9 = 0)"
@@ -239,7 +243,7 @@ def ingest_all_sources(spark, sf_dir):
 
 
 def _customers(spark, sf_dir) -> DataFrame:
-    c = cw.table(spark, sf_dir, "customer")
+    c = cw.spread(cw.table(spark, sf_dir, "customer"), "c_custkey")
     return c.join(cw.table(spark, sf_dir, "nation"), c["c_nationkey"] == F.col("n_nationkey"))
 
 
@@ -271,7 +275,7 @@ def ingest_lei_level1_counts(spark, sf_dir):
 
 
 def _level2(spark, sf_dir) -> lists.Reader:
-    o, k = cw.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    o, k = cw.spread(cw.table(spark, sf_dir, "orders"), "o_orderkey"), F.col("o_orderkey")
     node = lambda tag, key: _el(tag, _el("rr:NodeID", cw.lei(key)))
     r = _el("rr:Relationship", node("rr:StartNode", F.col("o_custkey")), _if(k % 7 != 0, node("rr:EndNode", k % 100)), _if(k % 11 != 0, _el("rr:RelationshipType", F.col("o_orderstatus"))), _el("rr:RelationshipStatus", "ACTIVE"), _el("rr:RelationshipPeriods", _el("rr:RelationshipPeriod", _el("rr:StartDate", F.date_format("o_orderdate", "yyyy-MM-dd"))), _el("rr:RelationshipPeriod", _el("rr:StartDate", "1900-01-01"))))
     return lists.column(o.select(F.concat(F.lit('<rr:Data xmlns:rr="urn:r">'), _el("rr:RelationshipRecord", r), F.lit("</rr:Data>")).alias("x")), "x")

@@ -35,8 +35,13 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], tag: str, sche
 
 def parse_records(texts: DataFrame, column: str, tags: Sequence[str], schema: str) -> DataFrame:
     """The same from a column of markup."""
-    one = texts.select(F.explode(fragments(F.col(column), tags)).alias("x"))
-    return one.select(F.from_xml("x", schema, {k: v for k, v in OPTIONS.items() if k != "charset"}).alias("r")).select("r.*")
+    # A search for a name is far cheaper than one for elements, and feeds of several parts are searched for each.
+    held = F.lit(False)
+    for t in tags:
+        held = held | F.contains(F.col(column), F.lit(t))
+    one = texts.select(F.explode(F.when(held, fragments(F.col(column), tags))).alias("x"))
+    # Filters and fields don't go through a generator, so a record is parsed once, and not once for each use of a field.
+    return one.select(F.inline(F.array(F.from_xml("x", schema, {k: v for k, v in OPTIONS.items() if k != "charset"}))))
 
 
 def is_wrong(head: Column) -> Column:
@@ -141,7 +146,8 @@ def kept(values: Column, f) -> Column:
 
 def designations(rows: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     """(designations, counts by outcome) of rows with ``entry``, ``entity_type``, ``named`` (array of name and name_type, the primary first) and what else is known."""
-    rows = rows.withColumn("named", F.filter("named", lambda n: usable(n["name"])))
+    # The filter by outcome stays above a generator; else it would hold all that makes the names once more.
+    rows = rows.select(*(c for c in rows.columns if c != "named"), F.inline(F.array(F.struct(F.filter("named", lambda n: usable(n["name"])).alias("named")))))
     rows = rows.withColumn("primary_name", F.get("named", F.lit(0))["name"])
     fine, counts = tallied(rows, F.col("entry"), F.col("primary_name").isNotNull())
     fine = fine.withColumn("source", F.lit(source)).withColumn("source_entry_id", F.col("entry")).withColumn("id", F.concat_ws(":", F.lit(source), "entry"))
