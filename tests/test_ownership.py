@@ -169,3 +169,12 @@ def test_bulk_walks_start_from_every_customer(spark):
     assert sorted(n[:2] for n in nodes) == sorted((r, lei) for r, (seen, _, _) in walk("parents", 3).items() for lei in seen)
     few = [tuple(r) for r in catalog.QUERIES["screen_graph_nodes"](spark, SF).collect()]
     assert few and set(few) <= set(nodes)
+
+
+def test_what_grows_is_not_broadcast(spark):
+    """However small the files are, edges, roots and names don't pass through the driver."""
+    from screenlake.plans import crosswalk as cw
+    from screenlake.plans.catalog import QUERIES
+
+    for df in (QUERIES["relationships_both"](spark, "/root/testdata/sf0.001"), cw.names(spark, "/root/testdata/sf0.001", with_phonetic=False)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
